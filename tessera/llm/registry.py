@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe
+from tessera.llm import bpe, near_dup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": bpe.op3_bpe}
+    return {"op2_near_dup": near_dup.op2_near_dup, "op3_bpe": bpe.op3_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
