@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, near_dup
+from tessera.llm import bpe, near_dup, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_near_dup": near_dup.op2_near_dup, "op3_bpe": bpe.op3_bpe}
+    return {"op2_near_dup": near_dup.op2_near_dup, "op3_bpe": bpe.op3_bpe, "op10_token_store": token_store.op10_token_store}
 
 
 def oracle_sql() -> dict[str, str]:
