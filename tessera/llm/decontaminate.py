@@ -29,8 +29,8 @@ BLOCK, GROUP = 8, 8
 RETRIEVE, CONFIRM = 0.5, 0.8
 #: Words of a shingle.
 SHINGLE = 5
-#: Items in one index. More items make several indexes, each searched by all passages in turn.
-INDEX_ITEMS = 512
+#: Items in one index, and of a benchmark in one call. Each index is searched by all passages.
+INDEX_ITEMS, MOST_ITEMS = 512, 100_000
 _WORD = re.compile(r"\w+")
 
 
@@ -134,48 +134,69 @@ class Index:
         return q, a, q >= least and a >= least
 
 
+class Matcher:
+    """The indexes of a benchmark, built in a worker when first used."""
+
+    def __init__(self, items: DataFrame, item_col: str, item_text_col: str, retrieve: float, confirm: float):
+        rows = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null")
+        if rows.limit(MOST_ITEMS + 1).count() > MOST_ITEMS:
+            raise ValueError(f"a benchmark of more than {MOST_ITEMS} items goes in several calls")
+        held = sorted(((r.i, r.t) for r in rows.collect()), key=lambda x: (x[0], x[1] or ""))
+        self.sent = [items.sparkSession.sparkContext.broadcast(held[k : k + INDEX_ITEMS]) for k in range(0, len(held), INDEX_ITEMS)]
+        self.retrieve, self.confirm, self.indexes = retrieve, confirm, None
+
+    def leaks(self, column: pa.Array) -> list[tuple[int, int, float, float]]:
+        """(row, item_id, question share, answer share) of all verified leaks in a column of texts."""
+        if self.indexes is None:
+            self.indexes = [Index(s.value) for s in self.sent]
+        out = []
+        for start in range(0, len(column), 128):
+            texts = [tokens(t) for t in column.slice(start, 128).to_pylist()]
+            for index in self.indexes:
+                if not index.items:
+                    continue
+                for k, items in sorted(index.search([index.term_ids(w) for w in texts], self.retrieve).items()):
+                    words = texts[k]
+                    has = shingles(words)
+                    for item in sorted(items):
+                        # an item shorter than a shingle is looked for as a run of its own length
+                        own = len(index.items[item][1])
+                        q, a, ok = index.verified(item, has if own >= SHINGLE else {tuple(words[j : j + own]) for j in range(len(words) - own + 1)}, self.confirm)
+                        if ok:
+                            out.append((start + k, index.items[item][0], q, a))
+        return out
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", retrieve: float = RETRIEVE, confirm: float = CONFIRM) -> DataFrame:
     """(doc_id, item_id, question_share, answer_share double) for every verified leak.
 
     Whole texts are searched, passage by passage. An item with fewer words than a shingle is one
     shingle; null or wordless items and documents match nothing. Repeated rows of docs give repeated
     rows; items that share an id are separate items. A null doc_id stays null in its rows; items with a
-    null id are left out. The items, a benchmark of bounded size, go to all executors; more than
-    INDEX_ITEMS are searched in several passes. Other columns are not read.
+    null id are left out. The items, at most MOST_ITEMS, go to all executors; each INDEX_ITEMS of them
+    have an index, and all are searched. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    id_type = dict(docs.dtypes)["doc_id"]
-    rows = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null")
-    if rows.count() > 200 * INDEX_ITEMS:
-        raise ValueError(f"a benchmark of more than {200 * INDEX_ITEMS} items is not supported")
-    held = sorted(((r.i, r.t) for r in rows.collect()), key=lambda x: (x[0], x[1] or ""))
-    sent = [docs.sparkSession.sparkContext.broadcast(held[k : k + INDEX_ITEMS]) for k in range(0, max(len(held), 1), INDEX_ITEMS)]
+    matcher = Matcher(items, item_col, item_text_col, retrieve, confirm)
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if "indexes" not in state:
-            state["indexes"] = [Index(s.value) for s in sent]
-        at, item_ids, questions, answers = [], [], [], []
-        for start in range(0, batch.num_rows, 128):
-            texts = [tokens(t) for t in batch.column(1).slice(start, 128).to_pylist()]
-            for index in state["indexes"]:
-                if not index.items:
-                    continue
-                for k, items in sorted(index.search([index.term_ids(w) for w in texts], retrieve).items()):
-                    words = texts[k]
-                    has = shingles(words)
-                    for item in sorted(items):
-                        # an item shorter than a shingle is looked for as a run of its own length
-                        own = len(index.items[item][1])
-                        q, a, ok = index.verified(item, has if own >= SHINGLE else {tuple(words[j : j + own]) for j in range(len(words) - own + 1)}, confirm)
-                        if ok:
-                            at.append(start + k)
-                            item_ids.append(index.items[item][0])
-                            questions.append(q)
-                            answers.append(a)
+        found = matcher.leaks(batch.column(1))
+        at, item_ids, questions, answers = ([x[k] for x in found] for k in range(4))
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item_ids, pa.int64()), pa.array(questions, pa.float64()), pa.array(answers, pa.float64())], names=["doc_id", "item_id", "question_share", "answer_share"])
 
-    state: dict = {}
-    return map_arrow(docs, of, f"doc_id {id_type}, item_id long, question_share double, answer_share double")
+    return map_arrow(docs, of, f"doc_id {dict(docs.dtypes)['doc_id']}, item_id long, question_share double, answer_share double")
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", retrieve: float = RETRIEVE, confirm: float = CONFIRM) -> DataFrame:
+    """The rows of docs, all columns, that have no verified leak; as leaks() finds them, without a shuffle."""
+    matcher = Matcher(items, item_col, item_text_col, retrieve, confirm)
+    at = docs.columns.index(text_col)
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bad = {x[0] for x in matcher.leaks(batch.column(at))}
+        return batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
+
+    return map_arrow(docs, of, docs.schema)
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

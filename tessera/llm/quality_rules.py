@@ -87,19 +87,21 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     return out
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, max_repeat_percent: int = 30, min_score: float = MIN_SCORE) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, max_repeat_percent: int = 30, min_score: float = MIN_SCORE, carry: bool = False) -> DataFrame:
     """Counts and verdict for every row of docs.
 
     Returns (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words long, base_failed
     boolean, score double, kept boolean). base_failed: fewer than min_words words, or more than
     max_repeat_percent of them repeated. kept: not base_failed, and a score of min_score or more. Null
     and blank texts have no words: they fail, with a score of 0. Rows with null or repeated ids are
-    rows like others; other columns are not read. An empty table gives no rows.
+    rows like others. Other columns are not read, but with carry the whole input row comes back as the
+    struct `row`, so that no name can clash. An empty table gives no rows.
     """
     table = ",".join(map(str, weights(docs, trusted, id_col, text_col)))
     weight = F.split(F.lit(table), ",").cast("array<int>")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    rest = ["row"] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *([F.struct(*docs.columns).alias("row")] if carry else []))
     plain = F.col("text")
     for c in SYMBOLS:
         plain = F.replace(plain, F.lit(c), F.lit(""))
@@ -114,12 +116,13 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 
     got = rows.select(
         "doc_id",
+        *rest,
         _let(words(F.col("text")), measured).alias("m"),
         (F.octet_length("text") - F.octet_length(plain)).cast("bigint").alias("n_symbols"),
         _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")).alias("n_dup_lines"),
     )
     n = F.col("m.n_words")
-    got = got.select("doc_id", n, "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", ((n < min_words) | (100 * F.col("m.n_repeat_words") > max_repeat_percent * n)).alias("base_failed"), F.when(n > 0, F.col("m.total") / (SCALE * (2 * n - 1))).otherwise(0.0).alias("score"))
+    got = got.select("doc_id", *rest, n, "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", ((n < min_words) | (100 * F.col("m.n_repeat_words") > max_repeat_percent * n)).alias("base_failed"), F.when(n > 0, F.col("m.total") / (SCALE * (2 * n - 1))).otherwise(0.0).alias("score"))
     return got.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score))
 
 
