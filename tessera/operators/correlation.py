@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.material import materialized
 from tessera.operators.distance import BLOCK
 from tessera.operators.kernel import KEYS, centered_norm, col_sums, row_sums
 
@@ -60,7 +61,9 @@ def whitened_norm(kernel: DataFrame, self_kernels: DataFrame, of: DataFrame) ->
     rx = r.select("sigma", "slide_id", F.col("t").alias("ct1"), F.col("i").alias("p"), F.col("j").alias("i"), F.col("k").alias("kx"))
     ry = r.select("sigma", "slide_id", F.col("t").alias("ct2"), F.col("i").alias("j"), F.col("j").alias("q"), F.col("k").alias("ky"))
     half = kernel.join(rx, ["sigma", "slide_id", "ct1", "i"]).groupBy(*KEYS, "p", "j").agg(F.sum(F.col("kx") * F.col("k")).alias("h"))
+    half = materialized(half)
     m = half.join(ry, ["sigma", "slide_id", "ct2", "j"]).groupBy(*KEYS, "p", "q").agg(F.sum(F.col("h") * F.col("ky")).alias("m"))
+    m = materialized(m)
     rows = row_sums(kernel).join(sizes, BLOCK).select(*KEYS, "i", (F.col("row_sum") / F.col("n2")).alias("rm"))
     cols = col_sums(kernel).join(sizes, BLOCK).select(*KEYS, "j", (F.col("col_sum") / F.col("n1")).alias("cm"))
     grand = kernel.groupBy(*KEYS).agg(F.sum("k").alias("g")).join(sizes, BLOCK).select(*KEYS, (F.col("g") / (F.col("n1") * F.col("n2"))).alias("gm"))
@@ -98,7 +101,7 @@ def sinkhorn(kernel: DataFrame, tol: float = 1e-8, most: int = 1000, every: int
         v = kernel.join(u, [*KEYS, "i"]).groupBy(*KEYS, "j").agg(F.sum(F.col("k") * F.col("u")).alias("s")).select(*KEYS, "j", F.when(F.col("s") > 0, 1 / F.col("s")).otherwise(0.0).alias("v"))
         new = kernel.join(v, [*KEYS, "j"]).groupBy(*KEYS, "i").agg(F.sum(F.col("k") * F.col("v")).alias("s")).select(*KEYS, "i", F.when(F.col("s") > 0, 1 / F.col("s")).otherwise(0.0).alias("u"))
         if n % every == 0 or n == most:
-            new = new.checkpoint() if kernel.sparkSession.sparkContext.getCheckpointDir() else new.cache()
+            new = materialized(new)
             moved = new.join(u.withColumnRenamed("u", "was"), [*KEYS, "i"]).agg(F.max(F.abs(F.col("u") - F.col("was")) / F.greatest(F.abs("was"), F.lit(1e-300))).alias("m")).first().m
             u = new
             if moved is None or moved < tol:
@@ -127,7 +130,7 @@ def bidirectional_correlation(kernel: DataFrame, scores: DataFrame, normalize: s
     Rows and columns with small sums are left out first (row_cutoff None: none; their cells then count
     with a sum of 0).
     """
-    k = kernel if row_cutoff is None else filtered(kernel, row_cutoff, col_cutoff, together)
+    k = kernel if row_cutoff is None else materialized(filtered(kernel, row_cutoff, col_cutoff, together))
     if normalize == "sinkhorn_knopp":
         k = sinkhorn(k)
     by_row, by_col = k, k
@@ -148,7 +151,8 @@ def bidirectional_correlation(kernel: DataFrame, scores: DataFrame, normalize: s
         one = ka.join(b, ["sigma", "slide_id", "ct2", "j", "cc"]).select(*KEYS, "cc", F.col("ka").alias("p"), F.col("b").alias("q"))
         two = kb.join(a, ["sigma", "slide_id", "ct1", "i", "cc"]).select(*KEYS, "cc", F.col("kb").alias("p"), F.col("a").alias("q"))
     # a single cell correlates as 1; without variation the correlation is 0
-    cor = F.when(F.count("*") < 2, 1.0).when((F.stddev_pop("p") < 1e-12) | (F.stddev_pop("q") < 1e-12), 0.0).otherwise(F.corr("p", "q"))
+    spread = F.stddev_pop("p") * F.stddev_pop("q")
+    cor = F.when(F.count("*") < 2, 1.0).when(spread < 1e-12, 0.0).otherwise(F.covar_pop("p", "q") / spread)
     both = one.groupBy(*KEYS, "cc").agg(cor.alias("c1")).join(two.groupBy(*KEYS, "cc").agg(cor.alias("c2")), [*KEYS, "cc"])
     return both.select(*KEYS, "cc", ((F.col("c1") + F.col("c2")) / 2).alias("bidir"))
 

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.material import materialized
 from tessera.functions.quantiles import exact_quantile
 from tessera.operators.cells import coordinates
 from tessera.operators.neighbors import distance, hops, knn_graph, range_join
@@ -51,7 +52,7 @@ def low_percentiles(cells: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame
     A distance of 0 counts as d_min. Only the smallest distances are enumerated: the radius of the
     range join grows until every block has as many as its percentile needs.
     """
-    of = blocks(cells, pairs).cache()
+    of = materialized(blocks(cells, pairs))
     rows = of.collect()  # a row for each slide and pair of types
     if not rows:
         return of.select(*BLOCK, F.lit(0.0).alias("d_min"), F.lit(0.0).alias("low"))
@@ -67,7 +68,7 @@ def low_percentiles(cells: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame
         if radius >= widest or all(counts.get(b, (0, 0))[0] >= n and counts.get(b, (0, 0))[1] > 0 for b, n in need.items()):
             break
         radius = min(widest * 1.000001, radius * 2)
-    near = near.join(F.broadcast(of.select(*BLOCK, "n_pairs", "p")), BLOCK)
+    near = materialized(near.join(F.broadcast(of.select(*BLOCK, "n_pairs", "p")), BLOCK))
     least = near.where("d > 0").groupBy(*BLOCK).agg(F.min("d").alias("d_min"))
     near = near.join(F.broadcast(least), BLOCK).withColumn("d", F.greatest("d", "d_min"))
     low = exact_quantile(near, [*BLOCK, "n_pairs", "p", "d_min"], "d", F.col("p"), F.col("n_pairs"), "low")
@@ -91,7 +92,7 @@ def distance_pairs(cells: DataFrame, pairs: list[tuple[str, str]], reach: float
         if by <= 0:
             raise ValueError("scales are over 0")
         cells = cells.withColumn(c, F.col(c) * by)
-    lows = low_percentiles(cells, pairs).cache()
+    lows = materialized(low_percentiles(cells, pairs))
     scale = scale_factor(lows, target) if normalize else 1.0
     if reach is None:
         found = all_pairs(cells, pairs)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.material import materialized
 from tessera.functions.quantiles import exact_quantile
 from tessera.operators.distance import BLOCK, blocks, distance_pairs
 
@@ -87,15 +88,16 @@ def gaussian_kernel(
     None, 'global', 'row' or 'col'. single_precision keeps k as a 32-bit number.
     """
     distances, scale = distance_pairs(cells, pairs, reach(max(sigmas), lower), normalize_distance, target, truncate, scales)
-    kernel = kernel_from_distances(distances, sigmas, lower).cache()
+    kernel = materialized(kernel_from_distances(distances, sigmas, lower))
     kept = list(sigmas)
     if least_neighbors is not None:
         kept = sigma_guard(kernel, blocks(cells, pairs).select(*BLOCK, "n1", "n2"), lower, least_neighbors, every_block)
         kernel = kernel.where(F.col("sigma").isin(kept))
     if upper_quantile is not None:
-        kernel = clip_upper(kernel, upper_quantile)
+        kernel = materialized(clip_upper(kernel, upper_quantile))
     if normalize:
         kernel = {"global": normalize_global, "row": normalize_rows, "col": normalize_cols}[normalize](kernel, lower)
+        kernel = materialized(kernel)
     if single_precision:
         kernel = kernel.withColumn("k", F.col("k").cast("float"))
     return kernel, scale, kept

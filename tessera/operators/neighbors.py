@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.material import materialized
 from tessera.operators.cells import coordinates
 
 
@@ -85,19 +86,16 @@ def knn_graph(cells: DataFrame, k: int = 10) -> DataFrame:
 def hops(edges: DataFrame, most: int) -> DataFrame:
     """(slide_id, i, j, hops) of pairs at most `most` hops apart on the graph, i to itself left out."""
     edges = edges.select("slide_id", F.col("src").alias("at"), F.col("dst").alias("next"))
+    edges = materialized(edges)
     seen = frontier = edges.select("slide_id", F.col("at").alias("i"), F.col("next").alias("j"), F.lit(1).alias("hops")).where("i != j").distinct()
     for n in range(2, int(most) + 1):
         step = frontier.join(edges, (frontier["slide_id"] == edges["slide_id"]) & (frontier["j"] == edges["at"])).select(frontier["slide_id"], "i", F.col("next").alias("j"), F.lit(n).alias("hops")).where("i != j").distinct()
         frontier = step.join(seen.select("slide_id", "i", "j"), ["slide_id", "i", "j"], "left_anti")
-        frontier = frontier.checkpoint() if _can_checkpoint(frontier) else frontier.cache()
-        seen = seen.union(frontier)
+        frontier = materialized(frontier)
+        seen = materialized(seen.union(frontier))
     return seen
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     """(slide_id, i, ct2, d): the distance from each cell of left to the nearest other cell of each type of right."""
     dims = [c for c in coordinates(left) if c in right.columns]

@@ -1,20 +1,414 @@
-"""Named queries of the spatial engine and their DuckDB oracles."""
+"""Named queries of the spatial engine, and DuckDB SQL for those that SQL can express.
+
+Inputs: cells of embeddings (two types, five slides), cells of customers (segments, nations), numbers of
+lineitem. Values are rounded, as sums in another order differ in their last digits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.tails import signed_log_p
+from tessera.operators import cca, cells as cell_ops, colocalization, correlation, distance, gene_space, gene_tests, inference, kernel, neighbors, pca, resample, scores as score_ops, simulate, transfer
+
+PAIR = [("T0", "T1")]
+OWN = [("T0", "T0"), ("T1", "T1")]
+SIGMAS = [0.01, 0.02, 0.05]
+RADIUS = 0.1
+KEYS = ["slide_id", "ct1", "ct2"]
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cell_ops.embedding_cells(spark, sf_dir)
+
+
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    # adding 0 turns a rounded -0 into 0
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
+
+
+def _given_scores(spark: SparkSession, sf_dir: str, sigmas: list[float] = SIGMAS) -> DataFrame:
+    """Two axes of scores: the first two features."""
+    each = _cells(spark, sf_dir).select("slide_id", "cell_type", "cell_id", F.posexplode(F.slice("features", 1, 2)).alias("at", "score"), F.lit(0).alias("_"))
+    return each.select(F.explode(F.array(*[F.lit(s) for s in sigmas])).alias("sigma"), "slide_id", "cell_type", "cell_id", (F.col("at") + 1).alias("cc"), "score")
+
+
+def _kernel(spark: SparkSession, sf_dir: str, pairs=PAIR, sigmas=SIGMAS, **options) -> DataFrame:
+    return kernel.gaussian_kernel(_cells(spark, sf_dir), sigmas, pairs, least_neighbors=None, **options)[0]
+
+
+def _blocks(spark: SparkSession, sf_dir: str, pairs=PAIR) -> DataFrame:
+    return distance.blocks(_cells(spark, sf_dir), pairs)
+
+
+def _fitted(spark: SparkSession, sf_dir: str, n_components: int = 10, n_axes: int = 2, pairs=PAIR):
+    cells = _cells(spark, sf_dir)
+    of = pca.fit_pca(cells, n_components)
+    projected = pca.project(cells, of).cache()
+    k = kernel.gaussian_kernel(cells, SIGMAS, pairs)[0].cache()
+    return cells, of, projected, k, cca.kernel_cca(cca.operators(k, projected), n_axes).weights
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the kernel operators land: the embedding cells themselves."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+    """(sigma, slide_id, ct1, ct2, cc, ncorr): components, kernel, axes and the correlation of the two types along them."""
+    cells, _, projected, k, weights = _fitted(spark, sf_dir)
+    norms = kernel.centered_norm(k, distance.blocks(cells, PAIR))
+    return correlation.normalized_correlation(correlation.correlation_parts(k, cca.cell_scores(projected, weights), norms))
+
+
+def _subset_cells(spark, d):
+    return _rounded(cell_ops.subset(_cells(spark, d), ["T0"]).select("cell_id", "slide_id", "cell_type", "x", "y"), 9, "x", "y")
+
+
+def _range_join_pairs(spark, d):
+    c = _cells(spark, d)
+    return _rounded(neighbors.range_join(c, c, RADIUS, same=True).groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum("d").alias("sum_d")), 6, "sum_d")
+
+
+def _range_join_customers(spark, d):
+    c = cell_ops.customer_cells(spark, d)
+    return _rounded(neighbors.range_join(c, c, RADIUS, same=True).groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum("d").alias("sum_d")), 6, "sum_d")
+
+
+def _kernel_sums(k: DataFrame) -> DataFrame:
+    return _rounded(k.groupBy("sigma", *KEYS).agg(F.count("*").alias("n"), F.sum("k").alias("sum_k")), 6, "sum_k")
+
+
+def _sigma_guard(spark, d):
+    c = _cells(spark, d)
+    raw = _kernel(spark, d, sigmas=[0.002, 0.005, *SIGMAS], upper_quantile=None)
+    return spark.createDataFrame([(s,) for s in kernel.sigma_guard(raw, distance.blocks(c, PAIR))], "sigma double")
+
+
+def _norms(spark, d):
+    return kernel.centered_norm(_kernel(spark, d), _blocks(spark, d))
+
+
+def _whitened(spark, d):
+    """The normaliser within types, where the kernel whitens itself."""
+    k = _kernel(spark, d, OWN, [0.05])
+    return _rounded(correlation.whitened_norm(k, k, _blocks(spark, d, OWN)), 5, "norm")
+
+
+def _parts(spark, d):
+    return correlation.correlation_parts(_kernel(spark, d), _given_scores(spark, d), _norms(spark, d))
+
+
+def _bidir(normalize: str, row_cutoff: float | None = 5e-2):
+    return lambda spark, d: _rounded(correlation.bidirectional_correlation(_kernel(spark, d), _given_scores(spark, d), normalize, row_cutoff), 6, "bidir")
+
+
+def _sinkhorn(spark, d):
+    k = correlation.sinkhorn(_kernel(spark, d, sigmas=[0.05]), most=60)
+    sums = kernel.row_sums(k).groupBy("sigma", *KEYS).agg(F.round(F.min("row_sum"), 3).alias("least_row"), F.round(F.max("row_sum"), 3).alias("most_row"))
+    return sums
+
+
+def _smoothed(spark, d):
+    return _rounded(correlation.smoothed_scores(_kernel(spark, d), _given_scores(spark, d)), 6, "ak", "b")
+
+
+def _neighbor_average(spark, d):
+    return _rounded(correlation.neighbor_average(_kernel(spark, d), _given_scores(spark, d)), 6, "smooth")
+
+
+def _in_place(spark, d):
+    got = score_ops.cell_scores_in_place(_cells(spark, d), _given_scores(spark, d, [0.05]).where("cell_id % 7 != 0"))
+    return _rounded(got.select("cell_id", "cell_type", "slide_id", "score", "score_label"), 6, "score")
+
+
+def _regression(spark, d):
+    return _rounded(score_ops.regression_gene_scores(_cells(spark, d), _given_scores(spark, d, [0.05])), 6, "beta")
+
+
+def _moments(spark, d):
+    return _rounded(pca.gene_moments(_cells(spark, d)), 6, "mean", "sd", "share")
+
+
+def _prevalence(spark, d):
+    long = score_ops.long_expression(_cells(spark, d))
+    share = long.groupBy("gene").agg(F.avg((F.col("value") > 0).cast("double")).alias("share"), F.sum((F.col("value") > 0).cast("long")).alias("n_cells"), F.percentile(F.when(F.col("value") > 0, F.col("value")), F.lit(0.98)).alias("top"))
+    return _rounded(share.where("share >= 0.008 and n_cells >= 20"), 6, "share", "top")
+
+
+def _clipped(spark, d):
+    long = score_ops.long_expression(_cells(spark, d))
+    top = long.where("value > 0").groupBy("gene").agg(F.percentile("value", F.lit(0.98)).alias("top"))
+    return _rounded(long.join(F.broadcast(top), "gene").groupBy("gene").agg(F.sum(F.least("value", "top")).alias("total"), F.sum((F.col("value") > F.col("top")).cast("long")).alias("n_clipped")), 4, "total")
+
+
+def _long_of(spark, d, t):
+    return score_ops.long_expression(_cells(spark, d)).where(F.col("cell_type") == t).where("gene < 8").select("cell_id", "gene", "value")
+
+
+def _weights8(spark):
+    return spark.createDataFrame([(g, 1, (g - 3) / 10.0) for g in range(8)], "gene int, cc int, w double")
+
+
+def _transfer(spark, d):
+    return _rounded(transfer.transfer_scores(_long_of(spark, d, "T0"), _long_of(spark, d, "T1"), _weights8(spark), least_weight=0.05), 6, "score")
+
+
+def _transfer_correlation(spark, d):
+    """Scores carried from one type to both types of the cells, correlated over the kernel."""
+    parts = None
+    for t in ("T0", "T1"):
+        one = transfer.transfer_scores(_long_of(spark, d, "T0"), _long_of(spark, d, t), _weights8(spark), normalize=False).withColumn("cell_type", F.lit(t))
+        parts = one if parts is None else parts.union(one)
+    s = parts.join(_cells(spark, d).select("cell_id", "slide_id"), "cell_id").select(F.lit(0.05).alias("sigma"), "slide_id", "cell_type", "cell_id", "cc", "score")
+    k = _kernel(spark, d, sigmas=[0.05])
+    return _rounded(correlation.normalized_correlation(correlation.correlation_parts(k, s, kernel.centered_norm(k, _blocks(spark, d)))), 6, "ncorr")
+
+
+def _knn(spark, d):
+    return _rounded(neighbors.knn(_cells(spark, d), 10), 9, "d")
+
+
+def _hops(spark, d):
+    return neighbors.hops(neighbors.knn_graph(_cells(spark, d), 4), 4).groupBy("slide_id", "hops").agg(F.count("*").alias("n"))
+
+
+def _morphology(spark, d):
+    c = _cells(spark, d)
+    fit = distance.morphology_fit(c, distance.all_pairs(c, PAIR), 5, 6)[1]
+    return _rounded(fit, 6, "slope", "intercept", "r2")
+
+
+def _morphology_filter(spark, d):
+    c = _cells(spark, d)
+    found = distance.morphology_filter(c, distance.distance_pairs(c, PAIR, None)[0], 5, 4, 3)
+    return _rounded(found.groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg("d").alias("mean_d"), F.max("d").alias("most_d")), 6, "mean_d", "most_d")
+
+
+def _lines(spark, d):
+    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_extendedprice").alias("v"))
+
+
+def _outliers(method: str, threshold: float):
+    def run(spark, d):
+        got = cell_ops.outliers(_lines(spark, d), "v", ["l_returnflag"], threshold, method)
+        return _rounded(got.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count("v").alias("n_left"), F.sum("v").alias("total")), 2, "total")
+
+    return run
+
+
+def _bins(spark, d):
+    return _rounded(resample.bin_diagnostics(cell_ops.customer_cells(spark, d), 6, 5), 6, "mean", "median", "sd")
+
+
+def _neighbor_bins(spark, d):
+    occupied = resample.binned(_cells(spark, d), 8, 8).select("bx", "by").distinct()
+    return resample.neighbor_bins(occupied, 8, 8)
+
+
+def _nulls(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    nulls = lines.where("l_quantity < 50").select(F.col("l_returnflag").alias("cc"), F.col("l_discount").alias("stat"))
+    observed = lines.where("l_quantity = 50").groupBy(F.col("l_returnflag").alias("cc")).agg(F.max("l_discount").alias("obs"))
+    return nulls, observed
+
+
+def _p_values(spark, d):
+    return _rounded(inference.p_values(*_nulls(spark, d), ["cc"]), 9, "p_greater", "p_less", "p_two_sided")
+
+
+def _step_down(spark, d):
+    n = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_orderpriority").agg(F.avg((F.col("o_totalprice") > 300000).cast("double")).alias("p_raw"))
+    p = n.select(F.substring("o_orderpriority", 1, 1).cast("int").alias("cc"), "p_raw")
+    return _rounded(inference.step_down(p.groupBy("cc").agg(F.min("p_raw").alias("p_raw")), 0.4), 9, "p_raw", "p_stepdown")
+
+
+def _sign_flips(spark, d):
+    effects = spark.read.parquet(f"{d}/customer.parquet").where("c_nationkey < 12").groupBy(F.col("c_nationkey").alias("replicate")).agg((F.avg("c_acctbal") - 4400).alias("effect"))
+    return _rounded(inference.sign_flips(effects), 6, "mean_effect", "p")
+
+
+def _signed_log_p(spark, d):
+    e = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", signed_log_p(F.col("l_discount") - 0.05, F.col("l_tax") + 0.001).alias("score"))
+    return _rounded(e, 6, "score")
+
+
+def _toroidal(spark, d):
+    return resample.toroidal(_cells(spark, d), 0.3, 0.45)
+
+
+def _pca(spark, d):
+    of = pca.fit_pca(_cells(spark, d), 10)
+    return spark.createDataFrame([(t, k + 1, round(float(s), 6)) for t, c in of.items() for k, s in enumerate(c.sdev)], "cell_type string, pc int, sdev double")
+
+
+def _axes(pairs):
+    def run(spark, d):
+        weights = _fitted(spark, d, pairs=pairs)[4]
+        return spark.createDataFrame([(float(s), t, p, cc + 1, float(m[p, cc])) for s, of in weights.items() for t, m in of.items() for p in range(m.shape[0]) for cc in range(m.shape[1])], "sigma double, cell_type string, pc int, cc int, w double")
+
+    return run
+
+
+def _three_types(spark, d):
+    c = cell_ops.customer_cells(spark, d).where("cell_type in ('AUTOMOBILE', 'BUILDING', 'MACHINERY')").withColumn("slide_id", F.lit("all"))
+    projected = c.select("slide_id", "cell_type", "cell_id", F.array(F.col("x") - 0.5, F.col("y") - 0.5, F.col("features")[0] / 10000).alias("pc"))
+    k = kernel.gaussian_kernel(c, [0.05], cca.pairs_of(["AUTOMOBILE", "BUILDING", "MACHINERY"]))[0]
+    weights = cca.kernel_cca(cca.operators(k, projected), 2).weights
+    return spark.createDataFrame([(float(s), t, p, cc + 1, float(m[p, cc])) for s, of in weights.items() for t, m in of.items() for p in range(m.shape[0]) for cc in range(2)], "sigma double, cell_type string, pc int, cc int, w double")
+
+
+def _supervised(spark, d):
+    cells, _, projected, k, _ = _fitted(spark, d)
+    first = {t: np.eye(10)[0] for t in ("T0", "T1")}
+    weights = cca.kernel_cca(cca.operators(k, projected), 2, first=first).weights
+    return spark.createDataFrame([(float(s), t, p, cc + 1, float(m[p, cc])) for s, of in weights.items() for t, m in of.items() for p in range(m.shape[0]) for cc in range(2)], "sigma double, cell_type string, pc int, cc int, w double")
+
+
+def _gene_weights(spark, d):
+    _, of, _, _, weights = _fitted(spark, d)
+    return spark.createDataFrame(cca.gene_weights(of, weights), "sigma double, cell_type string, gene int, cc int, weight double")
+
+
+def _gene_space(spark, d):
+    prepared, genes = gene_space.prepare_genes(_cells(spark, d))
+    prepared = prepared.cache()
+    k = kernel.gaussian_kernel(prepared, [0.05], PAIR)[0]
+    axes, values = gene_space.gene_space_cca(prepared, k, 0.05, 2, most=300)
+    return spark.createDataFrame([(t, genes[g], cc + 1, float(m[g, cc]), float(values[cc])) for t, m in axes.items() for g in range(len(genes)) for cc in range(2)], "cell_type string, gene int, cc int, w double, objective double")
+
+
+def _resampled(method: str):
+    return lambda spark, d: resample.resample_spatial(_cells(spark, d), 5, method=method, nx=4, ny=4)
+
+
+def _problem(spark, d):
+    cells, _, projected, k, weights = _fitted(spark, d, 5)
+    one = cells.withColumn("slide_id", F.lit("all"))
+    scores = projected.withColumn("slide_id", F.lit("all"))
+    k = kernel.gaussian_kernel(one, SIGMAS, PAIR)[0].cache()
+    norms = kernel.centered_norm(k, distance.blocks(one, PAIR))
+    weights = cca.kernel_cca(cca.operators(k, scores), 2).weights
+    return inference.Problem(scores, one, k, norms, PAIR[0]), weights
+
+
+def _permutations(spark, d):
+    problem, _ = _problem(spark, d)
+    return inference.fair_sigma(inference.permuted_statistics(spark, problem, 20))
+
+
+def _conditional(spark, d):
+    problem, weights = _problem(spark, d)
+    return inference.conditional_test(spark, problem, weights, 39)
+
+
+def _replicates(spark, d):
+    cells, _, projected, k, _ = _fitted(spark, d, 8)
+    y = cca.operators(k, projected)
+    own = projected.select(F.lit(0.0).alias("sigma"), "slide_id", F.col("cell_type").alias("ct1"), F.col("cell_type").alias("ct2"), F.col("cell_id").alias("i"), F.col("cell_id").alias("j"), F.lit(1.0).alias("k"))
+    squares = cca.operators(own, projected)[0.0]
+    norms = {(r.sigma, r.slide_id, r.ct1, r.ct2): r.norm for r in kernel.centered_norm(k, distance.blocks(cells, PAIR)).collect()}
+    rows = inference.replicate_effects(y, lambda s, t: squares[s][t, t], norms)
+    test = inference.replicate_test([r[3] for r in rows])
+    return spark.createDataFrame([(*r, test["p_value"], test["ci_low"], test["ci_high"]) for r in rows], "heldout string, sigma double, training_statistic double, heldout_effect double, p_value double, ci_low double, ci_high double")
+
+
+def _coloc(spark, d):
+    return colocalization.colocalization(_cells(spark, d), PAIR, (5, 25), units=0.01, n_sim=19)
+
+
+def _g_curves(spark, d):
+    return colocalization.g_summary(colocalization.g_curves(_cells(spark, d), PAIR, (0, 20), units=0.01, n_sim=19))
+
+
+def _glm(spark, d):
+    return gene_tests.gene_glm(_cells(spark, d), _given_scores(spark, d, [0.05]), ["x", "y"])
+
+
+def _simulated(spark, d):
+    return simulate.smooth_cells(spark, 100, 20, slides=2).select("cell_id", "slide_id", "cell_type", "x", "y", "spatial_score")
+
+
+def _sliced(spark, d):
+    one = cell_ops.customer_cells(spark, d).withColumn("slide_id", F.lit("all"))
+    return cell_ops.partition_slides(one, max(one.count() // 4, 10)).groupBy("slide_id").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "subset_cells": _subset_cells,
+        "cells_per_slide_type": lambda s, d: cell_ops.cells_per_slide_type(cell_ops.customer_cells(s, d)),
+        "cells_summary": lambda s, d: _rounded(cell_ops.summary(_cells(s, d)), 9, "x_min", "x_max", "y_min", "y_max"),
+        "range_join_pairs": _range_join_pairs,
+        "range_join_customers": _range_join_customers,
+        "low_percentile": lambda s, d: _rounded(distance.low_percentiles(_cells(s, d), PAIR), 9, "d_min", "low"),
+        "low_percentile_within": lambda s, d: _rounded(distance.low_percentiles(_cells(s, d), OWN), 9, "d_min", "low"),
+        "distance_scale": lambda s, d: _rounded(s.createDataFrame([(distance.scale_factor(distance.low_percentiles(_cells(s, d), PAIR)),)], "scale double"), 6, "scale"),
+        "gaussian_kernel_sigma_sweep": lambda s, d: _kernel_sums(_kernel(s, d, upper_quantile=None)),
+        "kernel_clipped": lambda s, d: _kernel_sums(_kernel(s, d)),
+        "kernel_row_norm": lambda s, d: _kernel_sums(_kernel(s, d, normalize="row")),
+        "kernel_col_norm": lambda s, d: _kernel_sums(_kernel(s, d, normalize="col")),
+        "kernel_global_norm": lambda s, d: _kernel_sums(_kernel(s, d, normalize="global")),
+        "kernel_float32": lambda s, d: _kernel_sums(_kernel(s, d, single_precision=True)),
+        "sigma_guard": _sigma_guard,
+        "self_kernel_sums": lambda s, d: _kernel_sums(_kernel(s, d, OWN)),
+        "centered_frobenius_norm": lambda s, d: _rounded(_norms(s, d), 6, "norm"),
+        "whitened_frobenius_norm": _whitened,
+        "norm_corr_given_scores": lambda s, d: _rounded(correlation.normalized_correlation(_parts(s, d)), 6, "ncorr"),
+        "norm_corr_aggregate": lambda s, d: _rounded(correlation.aggregate_correlation(_parts(s, d)), 6, "ncorr"),
+        "sigma_choice": lambda s, d: _rounded(correlation.best_sigma(correlation.normalized_correlation(_parts(s, d))), 6, "mean_ncorr"),
+        "bidir_corr_row_or_col": _bidir("row_or_col"),
+        "bidir_corr_none": _bidir("none"),
+        "bidir_corr_unfiltered": _bidir("row_or_col", None),
+        "bidir_corr_aggregate": lambda s, d: _rounded(correlation.mean_over_slides(correlation.bidirectional_correlation(_kernel(s, d), _given_scores(s, d)), "bidir"), 6, "bidir"),
+        "self_bidir_corr": lambda s, d: _rounded(correlation.self_bidirectional_correlation(_kernel(s, d, OWN), _given_scores(s, d)), 6, "bidir"),
+        "sinkhorn_kernel": _sinkhorn,
+        "corr_two_types": _smoothed,
+        "kernel_smoothed_scores": _neighbor_average,
+        "insitu_median_split": _in_place,
+        "regression_gene_scores": _regression,
+        "gene_zscore_guarded": _moments,
+        "gene_prevalence_filter": _prevalence,
+        "quantile_clip": _clipped,
+        "quantile_normalize": lambda s, d: _rounded(transfer.quantile_normalize(_long_of(s, d, "T0"), _long_of(s, d, "T1")), 6, "value"),
+        "transfer_scores": _transfer,
+        "transfer_norm_corr": _transfer_correlation,
+        "knn": _knn,
+        "knn_graph": lambda s, d: neighbors.knn_graph(_cells(s, d), 10),
+        "graph_hops": _hops,
+        "nn_cross_fraction": lambda s, d: _rounded(neighbors.nn_cross_fraction(_cells(s, d), "T0", "T1"), 9, "fraction"),
+        "morphology_regression": _morphology,
+        "morphology_filter": _morphology_filter,
+        "bin_diagnostics": _bins,
+        "neighbor_bins": _neighbor_bins,
+        "toroidal_rank_map": _toroidal,
+        "pvalues": _p_values,
+        "stepdown_pvalues": _step_down,
+        "sign_flip_exact": _sign_flips,
+        "signed_log_p": _signed_log_p,
+        "zscore_outliers": _outliers("zscore", 1.5),
+        "iqr_outliers": _outliers("iqr", 0.2),
+        "skr_cca_norm_corr": flagship,
+        "skr_cca_axes": _axes(PAIR),
+        "skr_cca_axes_one_type": _axes([("T0", "T0")]),
+        "skr_cca_three_types": _three_types,
+        "skr_cca_supervised": _supervised,
+        "pca_sdev": _pca,
+        "gene_weights": _gene_weights,
+        "gene_space_cca": _gene_space,
+        "resample_bins": _resampled("bin"),
+        "resample_toroidal": _resampled("toroidal"),
+        "permutation_fair_sigma": _permutations,
+        "permutation_conditional": _conditional,
+        "replicate_inference": _replicates,
+        "colocalization": _coloc,
+        "g12_summary": _g_curves,
+        "gene_glm": _glm,
+        "simulated_cells": _simulated,
+        "sliced_slides": _sliced,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tessera.plans import oracle
+
+    return oracle.oracle_sql()
