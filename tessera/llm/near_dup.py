@@ -11,7 +11,9 @@ Two sets share a register with a probability close to their Jaccard similarity.
 3. A pair whose joint likelihood (counts of larger, smaller and equal registers, given both exact set
    sizes) speaks strongly against the threshold is dropped; the others are confirmed on full sets.
 4. Confirmed links give components. Buckets that still hold several components are searched
-   completely, block against block within tasks, between components only; confirmed links are added.
+   completely, block against block within tasks, between components only, each pair in the first
+   bucket that it shares; full sets are compared within tasks too, and of the links found there those
+   are returned that join components. Rows stay in proportion to the nodes, however large a group.
 """
 
 from __future__ import annotations
@@ -105,7 +107,7 @@ def similarity(larger: np.ndarray, smaller: np.ndarray, n_left: np.ndarray, n_ri
     u = (n_left / (n_left + n_right))[:, None]
     v = 1 - u
     top = np.minimum(u / v, v / u)
-    grid = np.concatenate([np.linspace(0, 1, 81)[None, :] * top, np.minimum(least, top)], axis=1)
+    grid = np.concatenate([np.linspace(0, 1, 41)[None, :] * top, np.minimum(least, top)], axis=1)
     more, less = _share(u - v * grid), _share(v - u * grid)
     tiny = 1e-9
     likelihood = larger[:, None] * np.log(np.maximum(more, tiny)) + smaller[:, None] * np.log(np.maximum(less, tiny)) + (REGISTERS - larger - smaller)[:, None] * np.log(np.maximum(1 - more - less, tiny))
@@ -153,6 +155,16 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both, of, "a long, b long")
 
 
+def _alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sets of sorted distinct hashes reach the threshold."""
+    if not len(s) or not len(t) or 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    common = int((t[at] == s).sum())
+    return 100 * common >= percent * (len(s) + len(t) - common)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b").select("a", "b", "t_a", "t_b")
@@ -169,9 +181,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
             return got
 
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            s, t = of_text(x), of_text(y)
-            common = len(np.intersect1d(s, t, assume_unique=True))
-            ok.append(common > 0 and 100 * common >= percent * (len(s) + len(t) - common))
+            ok.append(_alike(of_text(x), of_text(y), percent))
         return batch.select(["a", "b"]).filter(pa.array(ok))
 
     return map_arrow(both, of, "a long, b long")
@@ -222,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = whole.groupBy("key").agg(F.min("doc_id").alias("node"))
     nodes = checkpointed(classes.join(whole.select(F.col("doc_id").alias("node"), "key", "n_shingles", "registers"), ["key", "node"]).dropDuplicates(["key"]))
 
-    bands = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1))).alias("band"), "registers").select(F.xxhash64("band", F.expr(f"substring(registers, {2 * BAND} * band + 1, {2 * BAND})")).alias("bucket"), "node")
+    bands = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1))).alias("band"), "registers").select(F.xxhash64("band", F.expr(f"substring(registers, {2 * BAND} * band + 1, {2 * BAND})")).alias("bucket"), "band", "node")
     buckets = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
     members = checkpointed(bands.join(buckets, "bucket"))
 
@@ -235,8 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = checkpointed(_confirmed(_estimated(hubs, nodes, percent), texts, size, percent).union(copies).distinct())
     labels = None if links.isEmpty() else components(links)
 
-    rest = _between(members, nodes, labels, percent)
-    more = checkpointed(_confirmed(rest.join(hubs, ["a", "b"], "left_anti"), texts, size, percent).distinct())
+    more = checkpointed(_between(members, nodes, texts, labels, size, percent))
     if not more.isEmpty():
         links = links.union(more)
         labels = components(links)
@@ -247,33 +256,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _between(members: DataFrame, nodes: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """All plausible pairs of nodes that share a bucket and are in different components so far."""
+def _between(members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame | None, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join nodes which share a bucket and are in different components so far."""
     of = _labelled(members, labels)
     mixed = of.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("bucket")
     left = of.join(mixed, "bucket").join(nodes.select("node", "n_shingles", "registers"), "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles", "registers")
+    left = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "component", "n_shingles", "registers")
 
-    def of_block(table: pa.Table) -> pa.Table:
+    def searched(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         own, node, component, n = (table.column(c).to_numpy() for c in ("own", "node", "component", "n_shingles"))
         regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        out_a, out_b = [], []
-        for k in range(len(node)):
-            if own[k] != i:
-                continue
-            ok = (component != component[k]) & ((own == j) if i != j else (node > node[k]))
-            at = np.flatnonzero(ok)
+        band, i, j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
+        earlier = np.ascontiguousarray(regs).view("<u8")[:, :band]
+        partners: dict[int, list[int]] = {}
+        for k in np.flatnonzero(own == i).tolist():
+            at = np.flatnonzero((component != component[k]) & ((own == j) if i != j else (node > node[k])))
+            at = at[(regs[at] == regs[k]).sum(axis=1) >= REGISTERS * (percent / 100 - 0.25)]
+            at = at[~(earlier[at] == earlier[k]).any(axis=1)]
             if len(at):
                 at = at[plausible(np.broadcast_to(regs[k], (len(at), REGISTERS)), regs[at], np.full(len(at), n[k]), n[at], percent)]
-                out_a.append(np.minimum(node[k], node[at]))
-                out_b.append(np.maximum(node[k], node[at]))
-        return pa.table({"a": np.concatenate(out_a) if out_a else np.empty(0, np.int64), "b": np.concatenate(out_b) if out_b else np.empty(0, np.int64)})
-
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(of_block, "a long, b long").distinct()
+            if len(at):
+                partners.setdefault(k, []).extend(node[at].tolist())
+                for x in at.tolist():
+                    partners.setdefault(x, [])
+        rows = sorted(partners)
+        found = table.select(["bucket", "i", "j", "node", "component"]).take(pa.array(rows, pa.int64()))
+        return found.append_column("partners", pa.array([partners[k] for k in rows], pa.list_(pa.int64())))
+
+    wanted = dealt.groupBy("bucket", "i", "j").applyInArrow(searched, "bucket long, i int, j int, node long, component long, partners array<long>")
+
+    def confirmed(table: pa.Table) -> pa.Table:
+        rows = table.select(["node", "component", "partners", "text"]).to_pylist()
+        sets = {}
+        for r in rows:
+            sets.setdefault(r["node"], []).append(shingle_set(r["text"], size))
+        top = {r["node"]: r["component"] for r in rows}
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x] = joined.get(joined[x], joined[x])
+            return x
+
+        out = set()
+        for r in rows:
+            for b in r["partners"]:
+                a = r["node"]
+                x, y = root(top[a]), root(top[b])
+                if x != y and any(_alike(s, t, percent) for s in sets[a] for t in sets[b]):
+                    joined[max(x, y)] = min(x, y)
+                    out.add((min(a, b), max(a, b)))
+        return pa.table({"a": pa.array([a for a, _ in sorted(out)], pa.int64()), "b": pa.array([b for _, b in sorted(out)], pa.int64())})
+
+    return wanted.join(texts, "node").select("bucket", "i", "j", "node", "component", "partners", "text").groupBy("bucket", "i", "j").applyInArrow(confirmed, "a long, b long")
 
 
 def op2_near_dup(spark, sf_dir: str) -> DataFrame:
