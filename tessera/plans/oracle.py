@@ -175,7 +175,7 @@ def _hops(k: int, most: int, until: str) -> str:
 
 def _binned(nx: int, ny: int) -> str:
     one = lambda c, n: f"case when max({c}) over w > min({c}) over w then least(greatest(ceil(({c} - min({c}) over w) / (max({c}) over w - min({c}) over w) * {n}), 1), {n}) else 1 end::integer"
-    return f"binned as (select slide_id, {one('x', nx)} as bx, {one('y', ny)} as by from cells window w as (partition by slide_id))"
+    return f'''binned as (select slide_id, {one('x', nx)} as bx, {one('y', ny)} as "by" from cells window w as (partition by slide_id))'''
 
 
 def _outliers(low: str, high: str, digits: int = 2) -> str:
@@ -249,9 +249,9 @@ select 0.05::double as sigma, long.cell_type, gene, cc, round(case when var_pop(
   select slide_id, ct1, i, min(d) filter (where ct1 = ct2) as own, min(d) filter (where ct1 <> ct2) as other from everything group by all
 )
 select slide_id, round(avg(share), 9) as fraction from (select slide_id, ct1, avg((other < own)::integer) as share from each group by all) group by slide_id""",
-        "bin_diagnostics": f"""with {CUSTOMERS}, {_binned(6, 5)}, counts as (select slide_id, bx, by, count(*) as n from binned group by all)
+        "bin_diagnostics": f"""with {CUSTOMERS}, {_binned(6, 5)}, counts as (select slide_id, bx, "by", count(*) as n from binned group by all)
 select slide_id, 30 as n_bins, count(*) as occupied, 30 - count(*) as empty, count(*) filter (where n < 5) as sparse, min(n) as least, max(n) as most, round(avg(n), 6) as mean, round(median(n), 6) as median, round(stddev_samp(n), 6) as sd from counts group by slide_id""",
-        "neighbor_bins": f"with {CELLS}, {_binned(8, 8)} select bx, by, bx + i as nbx, by + j as nby from (select distinct bx, by from binned), (select unnest([-1, 0, 1]) as i), (select unnest([-1, 0, 1]) as j) where bx + i between 1 and 8 and by + j between 1 and 8",
+        "neighbor_bins": f'''with {CELLS}, {_binned(8, 8)} select bx, "by", bx + i as nbx, "by" + j as nby from (select distinct bx, "by" from binned), (select unnest([-1, 0, 1]) as i), (select unnest([-1, 0, 1]) as j) where bx + i between 1 and 8 and "by" + j between 1 and 8''',
         "toroidal_rank_map": f"""with {CELLS}, shifted as (
   select *, {moved("x", 0.3)} as sx, {moved("y", 0.45)} as sy from cells window w as (partition by slide_id, cell_type)
 ), placed as (
