@@ -45,17 +45,21 @@ def default_tokenizer() -> str:
 
 
 class Generations(dict):
-    """A cache of two generations: at the limit the young entries become old and the old ones go."""
+    """A cache that makes what it lacks, in two generations: at the limit the young entries become old and the old ones go."""
 
-    def __init__(self, entries: int):
+    def __init__(self, entries: int, make):
         super().__init__()
-        self.entries, self.old = entries, {}
+        self.entries, self.make, self.old = entries, make, {}
 
-    def keep(self, key, value):
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
-        self[key] = value
+        if len(key) <= 64:
+            self[key] = value
         return value
 
 
@@ -70,8 +74,10 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        self.pieces = Generations(WORD_ENTRIES, self._piece)
+        self.words = Generations(WORD_ENTRIES, self._word)
+        self.word = self.words.__getitem__
         self.plain = self._same_pieces()
-        self.words, self.pieces = Generations(WORD_ENTRIES), Generations(WORD_ENTRIES)
         self.chunks: dict[bytes, tuple] = {}
         self.chunk_bytes = 0
         size = self.tokenizer.get_vocab_size()
@@ -85,40 +91,21 @@ class Encoder:
         probes = ["Word", "WÖRD12x", "a.b,c!!", "the***", "x$$$y%%%", "é", "ÀÉÎß", "99", "a1b2", "==", "<x>", "don", "&&&", "ñandú-ü;", "ÿÿ", "A" * 40]
         return all(self._pieces(p) == self._library(p) for p in probes if _PLAIN.fullmatch(p))
 
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else "".join(map(_byte_char, piece.encode()))
+        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+
     def _pieces(self, word: str) -> bytes:
-        out = []
-        for piece in _PIECE.findall(word.lower()):
-            got = self.pieces.get(piece) if hasattr(self, "pieces") else None
-            if got is None and hasattr(self, "pieces"):
-                got = self.pieces.old.get(piece)
-            if got is None:
-                mapped = piece if piece.isascii() else "".join(map(_byte_char, piece.encode()))
-                got = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-                if hasattr(self, "pieces"):
-                    self.pieces.keep(piece, got)
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(word.lower())))
 
-    def word(self, word: bytes) -> bytes:
+    def _word(self, word: bytes) -> bytes:
         """The ids of a run of bytes without ASCII white space."""
-        got = self.words.get(word)
-        if got is None:
-            got = self.words.old.get(word)
-            if got is None:
-                text = word.decode("utf-8", "surrogatepass")
-                got = self._pieces(text) if self.plain and _PLAIN.fullmatch(text) else self._library(text)
-            if len(word) <= 64:
-                self.words.keep(word, got)
-        return got
+        text = word.decode("utf-8", "surrogatepass")
+        return self._pieces(text) if self.plain and _PLAIN.fullmatch(text) else self._library(text)
 
     def span(self, span: bytes) -> bytes:
         """The ids of bytes that begin and end at white space, or at an end of the text."""
-        words = span.split()
-        get = self.words.get
-        out = [get(w) for w in words]
-        if None in out:
-            out = [self.word(w) if x is None else x for w, x in zip(words, out)]
-        return b"".join(out)
+        return b"".join(map(self.word, span.split()))
 
     def chunk(self, chunk: bytes) -> tuple:
         """(bytes before the first white space, ids of the core, bytes after the last), or (chunk, None, b"") without white space."""

@@ -193,7 +193,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         for batch in batches:
             enc = encoder(tokenizer)
-            for doc_id, got in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = enc.span((text or "").encode("utf-8", "surrogatepass"))
                 ids.append(doc_id)
                 parts += [got, end]
                 lengths.append(len(got) // 4 + 1)
