@@ -100,6 +100,8 @@ class Encoder:
 
     def _word(self, word: bytes) -> bytes:
         """The ids of a run of bytes without ASCII white space."""
+        if self.plain and word.isalpha():  # ASCII letters: a single piece
+            return self.pieces[word.lower().decode()]
         text = word.decode("utf-8", "surrogatepass")
         return self._pieces(text) if self.plain and _PLAIN.fullmatch(text) else self._library(text)
 

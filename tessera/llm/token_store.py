@@ -48,12 +48,12 @@ def _slots(keys: np.ndarray) -> np.ndarray:
 
 
 def _replace(seq: np.ndarray, keys: np.ndarray, pairs: np.ndarray, first: int) -> np.ndarray:
-    """seq with the occurrences of the sorted pair keys replaced by first, first + 1, ..., from left to right."""
-    maybe = np.zeros(2**20, bool)
-    maybe[_slots(pairs)] = True
-    hit = np.flatnonzero(maybe[_slots(keys)])
-    at = np.searchsorted(pairs, keys[hit])
-    at[at == len(pairs)] = 0
+    """seq with the occurrences of the pairs, each in a slot of its own, replaced by first, first + 1, ..., from left to right."""
+    number = np.full(2**20, -1, np.int16 if len(pairs) < 2**15 else np.int32)
+    number[_slots(pairs)] = np.arange(len(pairs))
+    at = number[_slots(keys)]
+    hit = np.flatnonzero(at >= 0)
+    at = at[hit].astype(np.int64)
     ok = pairs[at] == keys[hit]
     hit, at = hit[ok], at[ok]
     # of a run of overlapping hits, every second one is taken
@@ -81,16 +81,16 @@ def compress(seq: np.ndarray, lengths: list[int]) -> bytes:
         if len(seq) < 2 or room <= 0:
             break
         keys = _keys(seq, narrow)
-        slots = _slots(keys)
-        ordered = np.sort(keys[np.bincount(slots, minlength=2**20)[slots] >= LEAST])  # a pair's count is at most its slot's
-        edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+        ordered = np.sort(keys)
+        edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(edges, len(ordered)))
         often = np.flatnonzero(counts >= LEAST)
         if not len(often):
             break
         if len(often) > room:
             often = often[np.argsort(-counts[often], kind="stable")[:room]]
-        pairs = np.sort(ordered[edges[often]])
+        pairs = ordered[edges[often]]
+        pairs = pairs[np.sort(np.unique(_slots(pairs), return_index=True)[1])]  # the second pair of a slot waits for the next round
         shift, mask = (np.uint32(16), np.uint32(0xFFFF)) if narrow else (np.uint64(32), np.uint64(0xFFFFFFFF))
         rules.append(np.stack([pairs >> shift, pairs & mask], axis=1).astype("<u4"))
         seq = _replace(seq, keys, pairs, first)
@@ -131,21 +131,27 @@ class Container:
         self.offsets = np.frombuffer(data, "<u8", n_offsets, at)
         self.lengths = np.frombuffer(data, "<u4", n_docs, at + 8 * n_offsets)
         self.sizes = _expansion_lengths(self.rules, self.base)
+        self.flat = None
+
+    def _flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """All rules' expansions one after the other, and where each symbol's begins; plain ids come first."""
+        if self.flat is None:
+            starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+            flat = np.arange(int(self.sizes.sum()), dtype=np.uint32)
+            for k, (a, b) in enumerate(self.rules.tolist()):
+                at, n, m = starts[self.base + k], self.sizes[a], self.sizes[b]
+                flat[at : at + n] = flat[starts[a] : starts[a] + n]
+                flat[at + n : at + n + m] = flat[starts[b] : starts[b] + m]
+            self.flat = flat, starts
+        return self.flat
 
     def _expanded(self, symbols: np.ndarray) -> np.ndarray:
-        seq = symbols.astype(np.uint32)
-        while True:
-            rule = seq >= self.base
-            if not rule.any():
-                return seq
-            start = np.concatenate([[0], np.cumsum(1 + rule)])
-            out = np.empty(start[-1], np.uint32)
-            start = start[:-1]
-            out[start[~rule]] = seq[~rule]
-            parts = self.rules[seq[rule] - self.base]
-            out[start[rule]] = parts[:, 0]
-            out[start[rule] + 1] = parts[:, 1]
-            seq = out
+        flat, starts = self._flat()
+        sizes = self.sizes[symbols]
+        ends = np.cumsum(sizes)
+        if not len(ends):
+            return np.empty(0, np.uint32)
+        return flat[np.repeat(starts[symbols] - (ends - sizes), sizes) + np.arange(ends[-1])]
 
     def read(self, start: int, stop: int) -> np.ndarray:
         """Tokens start to stop of the shard; symbols outside the range's checkpoints are not touched."""
@@ -210,7 +216,6 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 def read_tokens(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary) from the files: start is the number of tokens of all documents before."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     stored = spark.read.parquet(path)
     # one narrow row for each container, of at least CONTAINER_TOKENS tokens or a whole partition
     held = stored.select("first_id", "shard", "number", "tokens").collect()
