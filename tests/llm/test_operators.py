@@ -169,6 +169,19 @@ def test_line_dedup(spark, docs, empty):
     assert carried.row.row == "clash" and carried.row.text == ROWS[0][1]
 
 
+def test_line_dedup_of_spread_changes(spark):
+    """Some changed words leave few runs of tokens alike, but 57 and 45 of 60 tokens; 44 are too few."""
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+
+    def changed(at, to):
+        return " ".join(to if k in at else w for k, w in enumerate(words))
+
+    texts = [(1, " ".join(words)), (2, changed((9, 24, 39), "else")), (3, changed(range(4, 49, 3), "other")), (4, changed(range(5, 51, 3), "third"))]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0}
+    assert [r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string"), min_docs=5).collect()] == [0] * 4
+
+
 def brute_rules(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0
