@@ -4,7 +4,8 @@ A text is cut into sentences; those that may speak of licensing are normalised (
 digits, dots and plus signs, single blanks) and mapped to identifiers of known licence sentences, or
 UNKNOWN. The document's identifiers in order are matched against licence rules, each a pattern over
 identifiers, tried in order; what a rule matches is consumed, so that the parts of a long licence
-text don't count again. Tables and rules are below; the SQL for DuckDB is made from the same ones.
+text don't count again. Tables and rules are below; the SQL for DuckDB is made from the same ones, but
+for the words of HINT: it stays as given and knows those of _OLD_HINT only.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from tessera.llm.common import read_table
 
 #: Ends of sentences, and words without which a sentence says nothing about licensing.
 ENDS = r"[.!?;]+(?:[\x20\x09-\x0D]+|\z)|\n+"
-HINT = r"licen[sc]|copyright|\(c\)|©|spdx|warrant|permission|permitted|redistribut|public domain|all rights reserved|gnu general|merchantab|liable|unlicense"
+_OLD_HINT = r"licen[sc]|copyright|\(c\)|©|spdx|warrant|permission|permitted|redistribut|public domain|all rights reserved|gnu general|merchantab|liable|unlicense"
+#: Between words of a text that isn't normalised yet.
+_GAP = r"[^a-z0-9.+]+"
+HINT = rf"{_OLD_HINT}|gpl|cc{_GAP}by|cc0|cc{_GAP}zero|creative{_GAP}commons|public{_GAP}domain|all{_GAP}rights{_GAP}reserved|proprietary|unauthori[sz]ed{_GAP}copying|software{_GAP}is{_GAP}provided|used{_GAP}to{_GAP}endorse"
 
 _UNDER = r"(?:(?:this|the) (?:\w+ )?(?:work|file|software|program|project|code|library|document|package|text|content|material|article|page) (?:is|are) )?(?:also )?(?:licensed|released|distributed|available|made available|published|provided|free to use|redistributable)?(?: and distributed)? ?(?:under|subject to|governed by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 _END = r"(?: or (?:at your option )?any later version)?(?: see .*| \(?the license\)?)?$"
@@ -140,7 +144,7 @@ def _sql() -> str:
         step = f"step{k + 1}"
     return f"""
 with hinted as (
-  select doc_id, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), {quoted(ENDS)}), lambda s: regexp_matches(lower(s), {quoted(HINT)})),
+  select doc_id, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), {quoted(ENDS)}), lambda s: regexp_matches(lower(s), {quoted(_OLD_HINT)})),
     lambda s: trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.+]+', ' ', 'g'), '[.]+( |\\z)', '\\1', 'g'))) as sentences
   from documents
 ), found as (

@@ -47,6 +47,14 @@ def test_licences(spark, docs, empty):
     assert (found[3].licences, found[3].n_unknown) == ("", 1)
 
 
+def test_licences_without_the_word(spark):
+    """Sentences that hold none of licence, copyright, permission and the like."""
+    want = ["Distributed under the GPL, version 2.", "Released under the GNU GPL.", "Released under CC0.", "Released under CC Zero.", "This work is available under CC BY-SA 4.0.", "Available under Creative Commons Attribution 4.0.", "Released into the\tpublic  domain.", "Proprietary and confidential.", "Unauthorised copying of this file is strictly prohibited.", "The software is provided by us as is and so on.", "Neither the name of A B may be used to endorse products."]
+    ids = ["GPL2ref", "GPLref", "CC0ref", "CC0ref", "CCBYSAref", "CCBYref", "PublicDomain", "Proprietary", "Proprietary", "AsIs", "BSDendorse"]
+    rows = licenses.licence_scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()
+    assert [r.sentences for r in sorted(rows)] == ids
+
+
 def brute_components(rows, size, percent):
     def shingles(t):
         w = (t or "").encode().lower().split()
