@@ -142,22 +142,23 @@ def _clipped(spark, d):
 
 
 def _long_of(spark, d, t):
-    return score_ops.long_expression(_cells(spark, d)).where(F.col("cell_type") == t).where("gene < 8").select("cell_id", "gene", "value")
+    return score_ops.long_expression(_cells(spark, d)).where(F.col("cell_type") == t).select("cell_id", "gene", "value")
 
 
-def _weights8(spark):
-    return spark.createDataFrame([(g, 1, (g - 3) / 10.0) for g in range(8)], "gene int, cc int, w double")
+def _all_weights(spark, d):
+    genes = _cells(spark, d).agg(F.max(F.size("features"))).first()[0] or 0
+    return spark.createDataFrame([(g, 1, (g - 3) / 10.0) for g in range(genes)], "gene int, cc int, w double")
 
 
 def _transfer(spark, d):
-    return _rounded(transfer.transfer_scores(_long_of(spark, d, "T0"), _long_of(spark, d, "T1"), _weights8(spark), least_weight=0.05), 6, "score")
+    return _rounded(transfer.transfer_scores(_long_of(spark, d, "T0"), _long_of(spark, d, "T1"), _all_weights(spark, d), least_weight=0.05), 6, "score")
 
 
 def _transfer_correlation(spark, d):
     """Scores carried from one type to both types of the cells, correlated over the kernel."""
     parts = None
     for t in ("T0", "T1"):
-        one = transfer.transfer_scores(_long_of(spark, d, "T0"), _long_of(spark, d, t), _weights8(spark), normalize=False).withColumn("cell_type", F.lit(t))
+        one = transfer.transfer_scores(_long_of(spark, d, "T0"), _long_of(spark, d, t), _all_weights(spark, d), normalize=False).withColumn("cell_type", F.lit(t))
         parts = one if parts is None else parts.union(one)
     s = parts.join(_cells(spark, d).select("cell_id", "slide_id"), "cell_id").select(F.lit(0.05).alias("sigma"), "slide_id", "cell_type", "cell_id", "cc", "score")
     k = _kernel(spark, d, sigmas=[0.05])
