@@ -224,7 +224,7 @@ def _step_down(spark, d):
 
 
 def _sign_flips(spark, d):
-    effects = spark.read.parquet(f"{d}/customer.parquet").where("c_nationkey < 12").groupBy(F.col("c_nationkey").alias("replicate")).agg((F.avg("c_acctbal") - 4400).alias("effect"))
+    effects = spark.read.parquet(f"{d}/customer.parquet").groupBy(F.col("c_nationkey").alias("replicate")).agg((F.avg("c_acctbal") - 4400).alias("effect"))
     return _rounded(inference.sign_flips(effects), 6, "mean_effect", "p")
 
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessera.operators import scores
+from tessera.operators import inference, scores
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +39,16 @@ def test_transferred_scores_of_all_genes(spark):
     want = ((placed - a.mean(axis=0)) / np.where(sd < 1e-8, 1, sd)) @ w
     got = [r.score for r in catalog.queries()["transfer_scores"](spark, SF).orderBy("cell_id").collect()]
     assert np.allclose(got, want, atol=1e-5)
+
+
+def test_sign_flips_of_all_nations(spark):
+    got = catalog.queries()["sign_flip_exact"](spark, SF).first()
+    assert got.n == spark.read.parquet(f"{SF}/customer.parquet").select("c_nationkey").distinct().count() == 25
+
+
+def test_sign_flips_against_enumeration(spark):
+    e = np.random.default_rng(4).normal(0.2, 1, 17)
+    e[3] = e[9]
+    means = (1 - 2 * ((np.arange(2**17)[:, None] >> np.arange(17)) & 1)) @ e / 17
+    got = inference.sign_flips(spark.createDataFrame(list(enumerate(e.tolist())), "replicate long, effect double")).first()
+    assert got.n == 17 and abs(got.mean_effect - e.mean()) < 1e-12 and got.p == (means >= e.mean() - 1e-12).mean()
