@@ -5,7 +5,7 @@ digits, dots and plus signs, single blanks) and mapped to identifiers of known l
 UNKNOWN. The document's identifiers in order are matched against licence rules, each a pattern over
 identifiers, tried in order; what a rule matches is consumed, so that the parts of a long licence
 text don't count again. Tables and rules are below; the SQL for DuckDB is made from the same ones, but
-for the words of HINT: it stays as given and knows those of _OLD_HINT only.
+stays as given: it knows the words of _OLD_HINT only, no GRANTS, and matches line by line.
 """
 
 from __future__ import annotations
@@ -14,14 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import read_table
+from tessera.llm.quality_rules import _let
 
-#: Ends of sentences, and words without which a sentence says nothing about licensing.
+#: Ends of sentences where every line stands for itself, and words without which a sentence says nothing about licensing.
 ENDS = r"[.!?;]+(?:[\x20\x09-\x0D]+|\z)|\n+"
 _OLD_HINT = r"licen[sc]|copyright|\(c\)|©|spdx|warrant|permission|permitted|redistribut|public domain|all rights reserved|gnu general|merchantab|liable|unlicense"
 #: Between words of a text that isn't normalised yet.
 _GAP = r"[^a-z0-9.+]+"
 HINT = rf"{_OLD_HINT}|gpl|cc{_GAP}by|cc0|cc{_GAP}zero|creative{_GAP}commons|public{_GAP}domain|all{_GAP}rights{_GAP}reserved|proprietary|unauthori[sz]ed{_GAP}copying|software{_GAP}is{_GAP}provided|used{_GAP}to{_GAP}endorse"
 
+#: Ends of sentences in wrapped texts: punctuation, blank lines (with marks of comments, too), and newlines before list marks.
+WRAPPED_ENDS = r"[.!?;]+(?:[\x20\x09-\x0D]+|\z)|\n[\x20\x09\x0D*#/]*\n[\x20\x09-\x0D]*|\n(?=[\x20\x09*#/]*(?:-|\(?(?:[0-9]{1,2}|[a-z])[.)])[\x20\x09])"
+#: A line of copyright, which ends with its line.
+OWN_LINE = r"(?im)^([\x20\x09*#/]*copyright[\x20\x09]+(?:\(c\)|©|[0-9]{4})[^\n]*)\n"
+
 _UNDER = r"(?:(?:this|the) (?:\w+ )?(?:work|file|software|program|project|code|library|document|package|text|content|material|article|page) (?:is|are) )?(?:also )?(?:licensed|released|distributed|available|made available|published|provided|free to use|redistributable)?(?: and distributed)? ?(?:under|subject to|governed by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 _END = r"(?: or (?:at your option )?any later version)?(?: see .*| \(?the license\)?)?$"
 
@@ -67,6 +73,17 @@ SENTENCES = [
     ("Proprietary", r"^.*(?:proprietary and confidential|unauthori[sz]ed copying .*)$"),
 ]
 
+_GRANT = r"^(?:this (?:program|library|software|file) is free software )?you can redistribute it .* gnu "
+#: Whole grants that name their licence within one sentence; tried before the others, by Spark only: the SQL stays as given.
+GRANTS = [
+    ("AGPLref", rf"{_GRANT}affero general public licen[sc]e .*"),
+    ("LGPLref", rf"{_GRANT}(?:lesser|library) general public licen[sc]e .*"),
+    ("GPL2ref", rf"{_GRANT}general public licen[sc]e .*version 2(?: .*)?$"),
+    ("GPL3ref", rf"{_GRANT}general public licen[sc]e .*version 3(?: .*)?$"),
+]
+#: Patterns that take in whatever stands before or after them: other lines are not joined to these.
+OPEN = ["Copyright", "AllRights", "SPDX", "PublicDomain", "Proprietary"]
+
 _OWN = r"(?:Copyright |AllRights )*"
 #: Licence rules: licence and pattern over " identifier identifier ... ", tried in this order. Fixed values.
 RULES = [
@@ -112,13 +129,28 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def identified(s):
         case = F
-        for name, pattern in SENTENCES:
+        for name, pattern in GRANTS + SENTENCES:
             case = case.when(s.rlike(pattern), name)
         return case.otherwise("UNKNOWN")
 
-    hinted = F.filter(F.split(F.col("text"), ENDS), lambda s: F.lower(s).rlike(HINT))
-    normal = F.transform(hinted, lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9.+]+", " "), r"[.]+( |\z)", "$1")))
-    found = F.when(F.lower("text").rlike(HINT), F.transform(normal, identified)).otherwise(F.array().cast("array<string>"))
+    def named(s):
+        return identified(F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9.+]+", " "), r"[.]+( |\z)", "$1")))
+
+    def hinted(text, ends):
+        return F.filter(F.split(text, ends), lambda s: F.lower(s).rlike(HINT))
+
+    def chosen(whole, lines):
+        known = F.array_distinct(F.filter(lines, lambda x: x != "UNKNOWN"))
+        as_whole = (whole != "UNKNOWN") & ((F.size(known) == 0) | (~whole.isin(OPEN) & (F.size(known) == 1)))
+        return F.when(as_whole | (F.size(lines) == 0), F.array(whole)).otherwise(lines)
+
+    def sentence(s):
+        """Identifiers of a sentence over lines: its own, unless its lines are notices by themselves."""
+        both = F.struct(named(s).alias("whole"), F.transform(hinted(s, r"\n+"), named).alias("lines"))
+        return F.when(F.contains(s, F.lit("\n")), _let(both, lambda x: chosen(x["whole"], x["lines"]))).otherwise(F.array(named(s)))
+
+    sentences = hinted(F.regexp_replace("text", OWN_LINE, "$1\n\n"), WRAPPED_ENDS)
+    found = F.when(F.lower("text").rlike(HINT), F.flatten(F.transform(sentences, sentence))).otherwise(F.array().cast("array<string>"))
     rows = rows.select("doc_id", found.alias("ids"))
     # each identifier stands between two blanks of its own, so that neighbours can be consumed one by one
     rows = rows.withColumn("rest", F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -55,6 +56,18 @@ def test_licences_without_the_word(spark):
     assert [r.sentences for r in sorted(rows)] == ids
 
 
+def test_wrapped_licences(spark):
+    """Texts wrapped at 72 columns say what they say in one line; notices of a line each stay apart."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation."
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    wrapped = ["Copyright (c) 2020 A B\n" + "\n\n".join(textwrap.fill(p, 72) for p in t.split("\n\n")) for t in (mit, bsd, apache, gpl)]
+    lines = ["Copyright 2020 A B\nReleased under the MIT License", "Some title\nReleased under the MIT License\nReleased under the GPL"]
+    rows = licenses.licence_scan(spark.createDataFrame(list(enumerate(wrapped + lines)), "doc_id long, text string")).collect()
+    assert [r.licences for r in sorted(rows)] == ["MIT", "BSD-2-Clause", "Apache-2.0", "GPL-3.0", "MIT", "GPL,MIT"]
+
+
 def brute_components(rows, size, percent):
     def shingles(t):
         w = (t or "").encode().lower().split()
