@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import bpe, decontaminate, html_text, language, licenses, line_dedup, near_dup, quality_model, quality_rules, token_store
+from tessera.llm import bpe, decontaminate, html_text, language, licenses, line_dedup, near_dup, quality_model, quality_rules, registry, token_store
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, node long, key string"
@@ -39,6 +39,12 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_oracles_are_sql():
+    """No query is its own oracle: every oracle is the text of a SQL query, and of a registered one."""
+    for name, sql in registry.oracle_sql().items():
+        assert type(sql) is str and "select" in sql and name in registry.queries()
+
+
 def test_licences(spark, docs, empty):
     got = licenses.licence_scan(docs).collect()
     assert len(got) == len(ROWS) and licenses.licence_scan(empty).count() == 0
