@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts of ordinary size stay far below the memory of a Python worker.
-BATCH_ROWS = 1024
+#: Rows and bytes after which an Arrow batch ends, so that long texts don't meet in one batch.
+BATCH_ROWS, BATCH_BYTES = 1024, 16_000_000
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Make sure checkpoint() has a folder: the cluster's spark.checkpoint.dir, or a temporary one where that is unset."""
+    """Make sure checkpoint() has a folder: the cluster's spark.checkpoint.dir, or a temporary one where that is unset and all runs on one machine."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if shared:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(shared)
     elif sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoints-"))
 
 
@@ -36,9 +42,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_AT_EXIT: list[Callable[[], object]] = []
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when this Python process ends: results that are still to be read come from it."""
+    if not _AT_EXIT:
+        atexit.register(remove_all)
+    place, conf = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
+    _AT_EXIT.append(lambda: place.getFileSystem(conf).delete(place, True))
+
+
+def remove_all() -> None:
+    """Delete what remove_at_exit() has been told of. A JVM that is gone already can't; what it has left stays."""
+    while _AT_EXIT:
+        with contextlib.suppress(Py4JError, OSError):
+            _AT_EXIT.pop()()
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session end at BATCH_ROWS rows or BATCH_BYTES bytes. It is the session's setting, as plans read it when they run."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, of: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema) -> DataFrame:
     """mapInArrow with batches of bounded rows; of() gets a batch and returns one batch, or yields several."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
