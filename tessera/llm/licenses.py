@@ -4,8 +4,9 @@ A text is cut into sentences; those that may speak of licensing are normalised (
 digits, dots and plus signs, single blanks) and mapped to identifiers of known licence sentences, or
 UNKNOWN. The document's identifiers in order are matched against licence rules, each a pattern over
 identifiers, tried in order; what a rule matches is consumed, so that the parts of a long licence
-text don't count again. Tables and rules are below; the SQL for DuckDB is made from the same ones, but
-stays as given: it knows the words of _OLD_HINT only, no GRANTS, and matches line by line.
+text don't count again. An SPDX line carries its expression in its identifier. Tables and rules are
+below; the SQL for DuckDB is made from SENTENCES and RULES, but stays as given: it knows the words of
+_OLD_HINT only, neither TEXTS nor FULL nor SPDX expressions, and matches line by line.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ HINT = rf"{_OLD_HINT}|gpl|cc{_GAP}by|cc0|cc{_GAP}zero|creative{_GAP}commons|publ
 WRAPPED_ENDS = r"[.!?;]+(?:[\x20\x09-\x0D]+|\z)|\n[\x20\x09\x0D*#/]*\n[\x20\x09-\x0D]*|\n(?=[\x20\x09*#/]*(?:-|\(?(?:[0-9]{1,2}|[a-z])[.)])[\x20\x09])"
 #: A line of copyright, which ends with its line.
 OWN_LINE = r"(?im)^([\x20\x09*#/]*copyright[\x20\x09]+(?:\(c\)|©|[0-9]{4})[^\n]*)\n"
+#: A line with an SPDX identifier stands by itself; the expression that it gives.
+SPDX_LINE = r"(?im)^([^\n]*spdx-licen[sc]e-identifier:[^\n]*)$"
+SPDX_OF = r"(?i)spdx-licen[sc]e-identifier:[\x20\x09]*([a-z0-9.+()-]+(?:[\x20\x09]+(?:and|or|with)[\x20\x09]+[a-z0-9.+()-]+)*)"
+#: Grants begin a sentence, also where a line of copyright runs into them.
+OPENINGS = r"(?i)([^\n])(permission is hereby granted, free of charge|permission to use, copy, modify,? and|redistribution and use in source and binary forms)"
 
 _UNDER = r"(?:(?:this|the) (?:\w+ )?(?:work|file|software|program|project|code|library|document|package|text|content|material|article|page) (?:is|are) )?(?:also )?(?:licensed|released|distributed|available|made available|published|provided|free to use|redistributable)?(?: and distributed)? ?(?:under|subject to|governed by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 _END = r"(?: or (?:at your option )?any later version)?(?: see .*| \(?the license\)?)?$"
@@ -74,17 +80,77 @@ SENTENCES = [
 ]
 
 _GRANT = r"^(?:this (?:program|library|software|file) is free software )?you can redistribute it .* gnu "
-#: Whole grants that name their licence within one sentence; tried before the others, by Spark only: the SQL stays as given.
-GRANTS = [
+_CC = rf"^{_UNDER}(?:an? )?creative commons attribution"
+_CC_END = r"(?: [0-9.]+)?(?: international| unported)?(?: licen[sc]e)?$"
+#: Sentences of whole licence texts and notices, and their titles; tried before the others, by Spark only: the SQL stays as given. Fixed values.
+TEXTS = [
     ("AGPLref", rf"{_GRANT}affero general public licen[sc]e .*"),
+    ("LGPL21ref", rf"{_GRANT}(?:lesser|library) general public licen[sc]e .*version 2.1(?: .*)?$"),
+    ("LGPL2ref", rf"{_GRANT}(?:lesser|library) general public licen[sc]e .*version 2(?: .*)?$"),
+    ("LGPL3ref", rf"{_GRANT}(?:lesser|library) general public licen[sc]e .*version 3(?: .*)?$"),
     ("LGPLref", rf"{_GRANT}(?:lesser|library) general public licen[sc]e .*"),
     ("GPL2ref", rf"{_GRANT}general public licen[sc]e .*version 2(?: .*)?$"),
     ("GPL3ref", rf"{_GRANT}general public licen[sc]e .*version 3(?: .*)?$"),
+    ("GPLhope", r"^(?:this|the) .{0,60}is distributed in the hope that it will be useful .*"),
+    ("GPLwarranty", r"^without even the implied warranty of merchantability .*"),
+    ("GPLdetails", r"^see the gnu (?:lesser |library |affero )?general public licen[sc]e .*"),
+    ("GPLcopy", r"^you should have received a copy of the gnu library general public licen[sc]e .*"),
+    ("GPLsee", r"^if not (?:see|write to) .*(?:gnu|free software foundation).*"),
+    ("MITtitle", r"^(?:the )?(?:mit|expat) licen[sc]e(?: mit)?$"),
+    ("ISCtitle", r"^(?:the )?isc licen[sc]e(?: isc)?$"),
+    ("BSD2title", r"^(?:the )?(?:bsd 2 clause|2 clause bsd|simplified bsd) licen[sc]e$"),
+    ("BSD3title", r"^(?:the )?(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd) licen[sc]e$"),
+    ("ApacheTitle", r"^apache licen[sc]e version 2.0(?: january 2004.*)?$"),
+    ("AGPLtitle", r"^gnu affero general public licen[sc]e version 3(?: 19 november 2007.*)?$"),
+    ("LGPL21title", r"^gnu lesser general public licen[sc]e version 2.1(?: february 1999.*)?$"),
+    ("LGPL3title", r"^gnu lesser general public licen[sc]e version 3(?: 29 june 2007.*)?$"),
+    ("GPL2title", r"^gnu general public licen[sc]e version 2(?: june 1991.*)?$"),
+    ("GPL3title", r"^gnu general public licen[sc]e version 3(?: 29 june 2007.*)?$"),
+    ("MPL2form", r"^this source code form is subject to the terms of the mozilla public licen[sc]e .*|^mozilla public licen[sc]e version 2.0$"),
+    ("EPL1form", r"^.{0,100}made available under the (?:terms of the )?eclipse public licen[sc]e (?:v(?:ersion)? ?)?1.0.*|^eclipse public licen[sc]e v(?:ersion)? ?1.0$"),
+    ("EPL2form", r"^.{0,100}made available under the (?:terms of the )?eclipse public licen[sc]e (?:v(?:ersion)? ?)?2.0.*|^eclipse public licen[sc]e v(?:ersion)? ?2.0$"),
+    ("UnlicenseGrant", r"^this is free and unencumbered software released into the public domain$"),
+    ("CC0waiver", r"^to the extent possible under law .*(?:cc0|creative commons zero).*"),
+    ("CCBYNCNDref", rf"{_CC} non ?commercial no ?deriv(?:ative)?s{_CC_END}"),
+    ("CCBYNCSAref", rf"{_CC} non ?commercial share ?alike{_CC_END}"),
+    ("CCBYNCref", rf"{_CC} non ?commercial{_CC_END}"),
+    ("CCBYNDref", rf"{_CC} no ?deriv(?:ative)?s{_CC_END}"),
+    ("CCBYSAref", rf"{_CC} share ?alike{_CC_END}"),
+    ("CCBYref", rf"{_CC}{_CC_END}"),
+    ("ZlibGrant", r"^permission is granted to anyone to use this software for any purpose including commercial applications .*"),
+    ("BSLtitle", r"^boost software licen[sc]e version 1.0(?: august 17th 2003)?$"),
+    ("BSLgrant", r"^permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation .*"),
+    ("AsIs", r"^(?:the|this) software is provided by .{0,200}as is .*"),
+    ("NoLiability", r"^in no event will .* be (?:held )?liable .*"),
 ]
 #: Patterns that take in whatever stands before or after them: other lines are not joined to these.
 OPEN = ["Copyright", "AllRights", "SPDX", "PublicDomain", "Proprietary"]
 
 _OWN = r"(?:Copyright |AllRights )*"
+_MORE = r"(?:GPLhope |GPLwarranty |GPLdetails |GPLcopy |GPLsee |AsIs )"
+_NONE = r"(?:AsIs |NoLiability )*"
+#: Rules over identifiers of TEXTS, tried before the others, by Spark only: the SQL stays as given. Fixed values.
+FULL = [
+    ("MIT", rf" MITtitle {_OWN}(?:MITgrant (?:MITnotice )?{_NONE})?"),
+    ("ISC", rf" ISCtitle {_OWN}(?:ISCgrant {_NONE})?"),
+    ("BSD-3-Clause", rf" (?:BSD3title {_OWN}(?:BSDgrant BSDsource BSDbinary (?:BSDendorse )?)?|{_OWN}BSDgrant BSDsource BSDbinary BSDendorse (?=AsIs ))(?:UNKNOWN )?{_NONE}"),
+    ("BSD-2-Clause", rf" BSD2title {_OWN}(?:BSDgrant BSDsource BSDbinary )?{_NONE}"),
+    ("Apache-2.0", rf" ApacheTitle {_OWN}"),
+    ("AGPL-3.0", rf" (?:AGPLtitle |(?:GPLfree )?AGPLref {_MORE}+)"),
+    ("LGPL-2.1", rf" (?:LGPL21title |(?:GPLfree )?LGPL21ref {_MORE}*)"),
+    ("LGPL-3.0", rf" (?:LGPL3title |(?:GPLfree )?LGPL3ref {_MORE}*)"),
+    ("LGPL-2.0", rf" (?:GPLfree )?LGPL2ref {_MORE}*"),
+    ("LGPL", rf" (?:GPLfree )?LGPLref {_MORE}+"),
+    ("GPL-2.0", rf" (?:GPL2title |(?:GPLfree )?GPL2ref {_MORE}+)"),
+    ("GPL-3.0", rf" (?:GPL3title |(?:GPLfree )?GPL3ref {_MORE}+)"),
+    ("MPL-2.0", r" MPL2form "),
+    ("EPL-1.0", r" EPL1form "),
+    ("EPL-2.0", r" EPL2form "),
+    ("Unlicense", rf" UnlicenseGrant {_NONE}"),
+    ("CC0-1.0", r" CC0waiver "),
+    ("Zlib", rf" {_OWN}{_NONE}ZlibGrant "),
+    ("BSL-1.0", rf" (?:BSLtitle (?:BSLgrant )?|BSLgrant ){_NONE}"),
+]
 #: Licence rules: licence and pattern over " identifier identifier ... ", tried in this order. Fixed values.
 RULES = [
     ("MIT", rf" {_OWN}(?:MITref {_OWN})?MITgrant (?:MITnotice )?(?:AsIs )?(?:NoLiability )?"),
@@ -121,19 +187,29 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Licence sentences and licences of every row of docs.
 
     Returns (doc_id, n_sentences, n_unknown long, sentences, licences string): identifiers in order,
-    between blanks; licences in the order of the rules, each once, between commas. Texts without
-    licence sentences, null and empty ones included, have no sentences and empty strings. One row for
-    each input row, whatever its id; other columns are not read. Whole texts are read.
+    between blanks; licences in the order of the rules, then the expressions of SPDX lines, each once,
+    between commas. Texts without licence sentences, null and empty ones included, have no sentences
+    and empty strings. One row for each input row, whatever its id, repeated ones included; other
+    columns are not read, whatever their names. Whole texts are read, however long. An empty table
+    gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def identified(s):
         case = F
-        for name, pattern in GRANTS + SENTENCES:
+        for name, pattern in TEXTS + SENTENCES:
             case = case.when(s.rlike(pattern), name)
         return case.otherwise("UNKNOWN")
 
+    def expression(s):
+        """The SPDX identifier of a sentence, its expression within it as one word, or the one without an expression."""
+        plain = F.regexp_replace(F.regexp_replace(F.regexp_extract(s, SPDX_OF, 1), r"[\x20\x09]+", "_"), r"^\(([^()]*)\)$", "$1")
+        return F.when(plain != "", F.concat(F.lit("SPDX:"), plain)).otherwise("SPDX")
+
     def named(s):
+        return F.when(F.lower(s).rlike("spdx-licen[sc]e-identifier:"), expression(s)).otherwise(known(s))
+
+    def known(s):
         return identified(F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9.+]+", " "), r"[.]+( |\z)", "$1")))
 
     def hinted(text, ends):
@@ -149,16 +225,20 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         both = F.struct(named(s).alias("whole"), F.transform(hinted(s, r"\n+"), named).alias("lines"))
         return F.when(F.contains(s, F.lit("\n")), _let(both, lambda x: chosen(x["whole"], x["lines"]))).otherwise(F.array(named(s)))
 
-    sentences = hinted(F.regexp_replace("text", OWN_LINE, "$1\n\n"), WRAPPED_ENDS)
+    cut = F.regexp_replace(F.regexp_replace("text", OWN_LINE, "$1\n\n"), OPENINGS, "$1\n\n$2")
+    cut = F.when(F.lower(cut).rlike("spdx-licen[sc]e-identifier:"), F.regexp_replace(cut, SPDX_LINE, "\n\n$1\n\n")).otherwise(cut)
+    sentences = hinted(cut, WRAPPED_ENDS)
     found = F.when(F.lower("text").rlike(HINT), F.flatten(F.transform(sentences, sentence))).otherwise(F.array().cast("array<string>"))
     rows = rows.select("doc_id", found.alias("ids"))
-    # each identifier stands between two blanks of its own, so that neighbours can be consumed one by one
+    # a pattern only looks back at the blank before it, so that neighbours are consumed one by one
     rows = rows.withColumn("rest", F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")))
     names = []
-    for k, (licence, pattern) in enumerate(RULES):
-        rows = rows.withColumn(f"r{k}", F.when(F.col("rest").rlike(pattern), licence)).withColumn("rest", F.regexp_replace("rest", pattern, " "))
+    for k, (licence, pattern) in enumerate(FULL + RULES):
+        after = "(?<= )" + pattern[1:]
+        rows = rows.withColumn(f"r{k}", F.when(F.col("rest").rlike(after), licence)).withColumn("rest", F.regexp_replace("rest", after, " "))
         names.append(f"r{k}")
-    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_sentences"), F.size(F.filter("ids", lambda x: x == "UNKNOWN")).cast("bigint").alias("n_unknown"), F.array_join("ids", " ").alias("sentences"), F.array_join(F.array_distinct(F.array_compact(F.array(*names))), ",").alias("licences"))
+    given = F.transform(F.filter("ids", lambda x: F.startswith(x, F.lit("SPDX:"))), lambda x: F.replace(F.substr(x, F.lit(6)), F.lit("_"), F.lit(" ")))
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_sentences"), F.size(F.filter("ids", lambda x: x == "UNKNOWN")).cast("bigint").alias("n_unknown"), F.array_join("ids", " ").alias("sentences"), F.array_join(F.array_distinct(F.concat(F.array_compact(F.array(*names)), given)), ",").alias("licences"))
 
 
 def op1_licences(spark, sf_dir: str) -> DataFrame:
