@@ -9,30 +9,42 @@ Two sets share a register with a probability close to their Jaccard similarity.
 2. Bands of registers give buckets; each node is paired with two hubs of its bucket, the smallest and
    the largest node, so that a large group gives rows in proportion to its size.
 3. A pair whose joint likelihood (counts of larger, smaller and equal registers, given both exact set
-   sizes) speaks strongly against the threshold is dropped; the others are confirmed on full sets.
-4. Confirmed links give components. Buckets that still hold several components are searched
-   completely, block against block within tasks, between components only, each pair in the first
-   bucket that it shares; full sets are compared within tasks too, and of the links found there those
-   are returned that join components. Rows stay in proportion to the nodes, however large a group.
+   sizes) speaks strongly against the threshold is dropped; the others are confirmed on full sets. A
+   hub's text goes out once for every PARTNERS of its partners, not once with each.
+4. Confirmed links give components. While buckets of over BLOCK nodes hold several components, their
+   nodes are paired with new hubs, drawn by hash, as long as that joins components: each round again
+   gives rows in proportion to the nodes, and what is near to many others is joined after a few.
+5. Buckets that still hold several components are searched completely within tasks, between
+   components only, each pair in the first bucket that it shares. A bucket's largest component is
+   never compared with itself: blocks of the other nodes meet each other and all blocks of it, so m
+   nodes outside of it among n give about m * n / BLOCK rows. That is in proportion to n where few are
+   outside; it grows with the square only for a large bucket of nodes that share a band and yet are
+   not linked with each other, as then all pairs have to be told apart. Full sets are compared within
+   tasks too, and of the links found there those are returned that join components.
+
+The registers' hashes are affine maps of 32 bits of a mixed 64-bit hash: pairwise independent, so minima
+are only about independent of each other. Recall is therefore measured against brute force, not assumed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, map_arrow, read_table
+from tessera.llm.common import bounded_batches, checkpointed, map_arrow, read_table
 
 #: Registers, registers in a band; sketch base, rate and largest value less one.
 REGISTERS, BAND = 128, 4
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 #: A pair is dropped where twice the log-likelihood ratio against the threshold is over this (5.5 standard errors).
 AGAINST = 30.0
-#: Nodes of one block in the complete search of a bucket.
-BLOCK = 512
+#: Nodes of one block in the complete search of a bucket; partners of a hub that share a copy of its text; rounds of new hubs at most.
+BLOCK, PARTNERS, ROUNDS = 256, 256, 8
 
 _RNG = np.random.default_rng(7_2024)
 _MULTIPLY = (_RNG.integers(0, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -166,25 +178,29 @@ def _alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b").select("a", "b", "t_a", "t_b")
-
-    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok, known = [], {}
-
-        def of_text(text: str) -> np.ndarray:
-            got = known.get(text)
-            if got is None:
-                if len(known) > 64:
-                    known.clear()
-                got = known[text] = shingle_set(text, size)
-            return got
-
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            ok.append(_alike(of_text(x), of_text(y), percent))
-        return batch.select(["a", "b"]).filter(pa.array(ok))
-
-    return map_arrow(both, of, "a long, b long")
+    """The pairs whose full sets reach the threshold: a is the hub, whose text comes before those of its partners."""
+    shares = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("shares")))
+    hubs = shares.join(texts.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), "text")
+    partners = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b").join(texts.withColumnRenamed("node", "b"), "b").select("a", "share", "b", "text")
+    rows = hubs.union(partners).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
+    bounded_batches(pairs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets = None, []
+        for batch in batches:
+            out = []
+            for a, share, b, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if (a, share) != at:
+                    at, sets = (a, share), []
+                if b is None:
+                    sets.append(shingle_set(text, size))
+                else:
+                    own = shingle_set(text, size)
+                    if any(_alike(s, own, percent) for s in sets):
+                        out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,7 +239,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is the smallest doc_id reachable, kept tells whether it is the document's own. A text with fewer
     than `size` words is one shingle; null and blank texts have none, are linked with nothing and
     kept. Rows that share a doc_id are one document. A row with a null doc_id can't take part: its
-    component_id is null and it is kept. doc_id must be an integer; other columns are not read.
+    component_id is null and it is kept. Whole texts are read, however long. doc_id must be an integer;
+    other columns are not read, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -241,9 +258,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     involved = members.select("node").distinct()
     texts = checkpointed(docs.where("doc_id is not null and text is not null").join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct())
-    hubs = members.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # the largest node is paired with those that are neither hub; a pair's first node is the hub
+    hubs = members.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).union(members.where("node != low and node != high").select(F.col("high").alias("a"), F.col("node").alias("b"))).distinct()
     links = checkpointed(_confirmed(_estimated(hubs, nodes, percent), texts, size, percent).union(copies).distinct())
     labels = None if links.isEmpty() else components(links)
+    for k in range(ROUNDS):
+        drawn = checkpointed(_drawn(members, labels, k))
+        new = None if drawn.isEmpty() else checkpointed(_confirmed(_estimated(drawn, nodes, percent), texts, size, percent))
+        if new is None or new.isEmpty():
+            break
+        links = links.union(new)
+        labels = components(links)
 
     more = checkpointed(_between(members, nodes, texts, labels, size, percent))
     if not more.isEmpty():
@@ -256,23 +281,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _drawn(members: DataFrame, labels: DataFrame | None, k: int) -> DataFrame:
+    """Pairs (a, b) of new hubs and the nodes of their bucket that are in other components so far, for buckets of over BLOCK nodes."""
+    of = _labelled(members.where(F.col("n") > BLOCK), labels)
+    draw = F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "component")
+    hubs = of.groupBy("bucket").agg(F.min(draw).alias("x"), F.max(draw).alias("y"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+    hubs = hubs.select("bucket", F.explode(F.array("x", "y")).alias("hub")).select("bucket", F.col("hub.node").alias("a"), F.col("hub.component").alias("c"))
+    return of.join(hubs, "bucket").where("component != c").select("a", F.col("node").alias("b")).distinct()
+
+
 def _between(members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame | None, size: int, percent: int) -> DataFrame:
     """Links (a, b) that join nodes which share a bucket and are in different components so far."""
-    of = _labelled(members, labels)
-    mixed = of.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("bucket")
-    left = of.join(mixed, "bucket").join(nodes.select("node", "n_shingles", "registers"), "node")
-    left = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "component", "n_shingles", "registers")
+    of = checkpointed(_labelled(members, labels))
+    parts = of.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("n"), F.count("*").alias("several")).where("several > 1")
+    # buckets of a block or less go to one task; of others the largest component has blocks of its own
+    split = F.col("n") > BLOCK
+    mixed = mixed.select("bucket", F.when(split, F.col("main.component")).alias("main"), F.when(split, F.ceil((F.col("n") - F.col("main.m")) / BLOCK)).otherwise(1).cast("int").alias("blocks"), F.when(split, F.ceil(F.col("main.m") / BLOCK)).otherwise(0).cast("int").alias("main_blocks"))
+    left = of.drop("n").join(mixed, "bucket").withColumn("is_main", F.col("component").eqNullSafe(F.col("main")))
+    left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("blocks"))).cast("int"))
+    # tasks are told by i, a block of other nodes, and j, another such block or -1 less a block of the largest component
+    with_others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
+    with_main = F.when(F.col("main_blocks") > 0, F.transform(F.sequence(F.lit(1), F.col("main_blocks")), lambda x: F.struct(F.col("own").alias("i"), (-x).alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(x.alias("i"), (-1 - F.col("own")).alias("j")))
+    dealt = left.withColumn("task", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(with_others, with_main)))).select("bucket", "task.i", "task.j", "own", "is_main", "band", "node", "component")
+    dealt = dealt.join(nodes.select("node", "n_shingles", "registers"), "node").select("bucket", "i", "j", "own", "is_main", "band", "node", "component", "n_shingles", "registers")
 
     def searched(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         own, node, component, n = (table.column(c).to_numpy() for c in ("own", "node", "component", "n_shingles"))
+        is_main = table.column("is_main").to_numpy(zero_copy_only=False)
         regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
         band, i, j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
         earlier = np.ascontiguousarray(regs).view("<u8")[:, :band]
         partners: dict[int, list[int]] = {}
-        for k in np.flatnonzero(own == i).tolist():
-            at = np.flatnonzero((component != component[k]) & ((own == j) if i != j else (node > node[k])))
+        for k in np.flatnonzero(~is_main & (own == i)).tolist():
+            at = np.flatnonzero((component != component[k]) & (is_main if j < 0 else own == j if i != j else node > node[k]))
             at = at[(regs[at] == regs[k]).sum(axis=1) >= REGISTERS * (percent / 100 - 0.25)]
             at = at[~(earlier[at] == earlier[k]).any(axis=1)]
             if len(at):
