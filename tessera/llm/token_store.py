@@ -1,15 +1,17 @@
 """Token ids in shards compressed by a Re-Pair grammar, with random access.
 
 A shard holds documents of adjoining ids. Rounds replace its frequent pairs of ids by nonterminals:
-each round counts all pairs of the sequence exactly, takes the frequent ones and replaces their
-occurrences from left to right, until no pair is frequent enough. The container keeps the rules, the
-length of every symbol's expansion (found again from the rules on opening) and the sum of expansion
-lengths at every STRIDE-th symbol, so that a range of tokens is decoded without the ones before it.
+each round counts all pairs of the sequence exactly, takes the most frequent ones (up to PAIRS) and
+replaces their occurrences from left to right; rounds go on until no pair occurs LEAST times. The
+container keeps the rules, the length of every symbol's expansion (found again from the rules on
+opening) and the sum of expansion lengths at every STRIDE-th symbol, so that a range of tokens is
+decoded without the ones before it.
 
-Layout of a container (little-endian): magic "RPG1", then unsigned 32-bit numbers of rules, symbols,
+Layout of a container (little-endian): magic "RPG2", then unsigned 32-bit numbers of rules, symbols,
 documents and checkpoints, the base (first nonterminal), unsigned 64-bit number of tokens; rules as
-pairs of unsigned 32-bit symbols; sequence as 16-bit symbols where all fit, else 32-bit, after a byte
-that tells the width; unsigned 64-bit token offsets at the checkpoints; unsigned 32-bit token counts of documents.
+pairs of unsigned 32-bit symbols; a byte that tells the bits of a symbol, then the sequence packed
+with that many bits for each symbol, lowest bits first, and eight bytes of padding; unsigned 64-bit
+token offsets at the checkpoints; unsigned 32-bit token counts of documents.
 """
 
 from __future__ import annotations
@@ -20,18 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encoder
-from tessera.llm.common import BATCH_ROWS, read_table, shared_dir
+from tessera.llm.common import bounded_batches, read_table, remove_at_exit, shared_dir
 
 #: Symbols between two checkpoints of a container.
 STRIDE = 1024
 #: Tokens after which a shard's container is closed; bounds the memory of a task.
 CONTAINER_TOKENS = 4_000_000
-#: Rounds, pairs replaced in a round, and the least count of a pair.
-ROUNDS, PAIRS, LEAST = 6, 4096, 12
+#: Shards whose first tokens are broadcast (64 bytes each); beyond it the join is shuffled. Shards added up in one task.
+BROADCAST_SHARDS, SHARDS = 1_000_000, 1024
+#: Pairs replaced in a round, and the least count of a pair.
+PAIRS, LEAST = 8192, 12
 _HEAD = struct.Struct("<4sIIIIIQ")
 
 
@@ -47,23 +51,26 @@ def _slots(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
 
-def _replace(seq: np.ndarray, keys: np.ndarray, pairs: np.ndarray, first: int) -> np.ndarray:
-    """seq with the occurrences of the pairs, each in a slot of its own, replaced by first, first + 1, ..., from left to right."""
-    number = np.full(2**20, -1, np.int16 if len(pairs) < 2**15 else np.int32)
-    number[_slots(pairs)] = np.arange(len(pairs))
-    at = number[_slots(keys)]
-    hit = np.flatnonzero(at >= 0)
-    at = at[hit].astype(np.int64)
-    ok = pairs[at] == keys[hit]
-    hit, at = hit[ok], at[ok]
+def _replace(seq: np.ndarray, keys: np.ndarray, at: np.ndarray | None, pairs: np.ndarray, first: int) -> np.ndarray:
+    """seq with the occurrences of the sorted pairs replaced by first, first + 1, ..., from left to right. at: the places where they can be."""
+    number_of = np.full(2**20, -1, np.int16 if len(pairs) < 2**15 else np.int32)
+    number_of[_slots(pairs)] = np.arange(len(pairs))
+    number = number_of[_slots(keys if at is None else keys[at])]
+    hit = np.flatnonzero(number >= 0)
+    number = number[hit].astype(np.int64)
+    hit = hit if at is None else at[hit]
+    other = np.flatnonzero(pairs[number] != keys[hit])  # slots that pairs share with others
+    number[other] = np.minimum(np.searchsorted(pairs, keys[hit[other]]), len(pairs) - 1)
+    ok = pairs[number] == keys[hit]
+    hit, number = hit[ok], number[ok]
     # of a run of overlapping hits, every second one is taken
     breaks = np.flatnonzero(np.diff(hit) != 1) + 1
     run_start = np.zeros(len(hit), np.int64)
     run_start[breaks] = breaks
     ok = (np.arange(len(hit)) - np.maximum.accumulate(run_start)) % 2 == 0
-    hit, at = hit[ok], at[ok]
+    hit, number = hit[ok], number[ok]
     out = seq.copy()
-    out[hit] = first + at
+    out[hit] = first + number
     keep = np.ones(len(seq), bool)
     keep[hit + 1] = False
     return out[keep]
@@ -74,32 +81,53 @@ def compress(seq: np.ndarray, lengths: list[int]) -> bytes:
     seq = np.ascontiguousarray(seq, np.uint32)
     total = len(seq)
     base = first = int(seq.max()) + 1 if total else 1
-    narrow = base <= 65_536
-    rules = []
-    for _ in range(ROUNDS):
+    rules, newest = [], 0
+    while len(seq) >= LEAST:
+        narrow = first < 65_536
         room = min(PAIRS, 65_536 - first) if narrow else PAIRS
-        if len(seq) < 2 or room <= 0:
-            break
         keys = _keys(seq, narrow)
-        ordered = np.sort(keys)
-        edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(edges, len(ordered)))
-        often = np.flatnonzero(counts >= LEAST)
+        # when all frequent pairs have been replaced, only those with a symbol of the last round can have become frequent
+        at = np.flatnonzero((seq[1:] >= newest) | (seq[:-1] >= newest)) if newest else None
+        ordered = np.sort(keys if at is None else keys[at])
+        # a pair that occurs LEAST times is equal to itself LEAST - 1 places on
+        often = ordered[: max(len(ordered) - LEAST + 1, 0)]
+        often = often[often == ordered[LEAST - 1 :]]
+        often = often[np.diff(often, prepend=~often[:1]) != 0]
         if not len(often):
             break
-        if len(often) > room:
-            often = often[np.argsort(-counts[often], kind="stable")[:room]]
-        pairs = ordered[edges[often]]
-        pairs = pairs[np.sort(np.unique(_slots(pairs), return_index=True)[1])]  # the second pair of a slot waits for the next round
+        whole = len(often) <= room
+        if not whole:
+            counts = np.searchsorted(ordered, often, side="right") - np.searchsorted(ordered, often)
+            often = np.sort(often[np.argsort(-counts, kind="stable")[:room]])
         shift, mask = (np.uint32(16), np.uint32(0xFFFF)) if narrow else (np.uint64(32), np.uint64(0xFFFFFFFF))
-        rules.append(np.stack([pairs >> shift, pairs & mask], axis=1).astype("<u4"))
-        seq = _replace(seq, keys, pairs, first)
-        first += len(pairs)
+        rules.append(np.stack([often >> shift, often & mask], axis=1).astype("<u4"))
+        seq = _replace(seq, keys, at, often, first)
+        newest = first if whole else 0
+        first += len(often)
     rule = np.concatenate(rules) if rules else np.empty((0, 2), "<u4")
     spans = _expansion_lengths(rule, base)[seq] if total else np.empty(0, np.int64)
     offsets = np.concatenate([[0], np.cumsum(spans)])[: len(seq) + 1 : STRIDE].astype("<u8")
-    width = 2 if first <= 65_536 else 4
-    return b"".join([_HEAD.pack(b"RPG1", len(rule), len(seq), len(lengths), len(offsets), base, total), rule.tobytes(), bytes([width]), seq.astype(f"<u{width}").tobytes(), offsets.tobytes(), np.array(lengths, "<u4").tobytes()])
+    bits = max(first - 1, 1).bit_length()
+    return b"".join([_HEAD.pack(b"RPG2", len(rule), len(seq), len(lengths), len(offsets), base, total), rule.tobytes(), bytes([bits]), _packed(seq, bits), offsets.tobytes(), np.array(lengths, "<u4").tobytes()])
+
+
+def _packed(seq: np.ndarray, bits: int) -> bytes:
+    """Symbols of so many bits one after the other, and eight bytes of padding."""
+    parts = []
+    for at in range(0, len(seq), 65_536):  # a multiple of eight symbols fills whole bytes
+        part = seq[at : at + 65_536].astype("<u4")
+        parts.append(np.packbits(np.unpackbits(part.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits].ravel(), bitorder="little").tobytes())
+    return b"".join(parts) + bytes(8)
+
+
+def _unpacked(data: np.ndarray, bits: int, start: int, stop: int) -> np.ndarray:
+    """Symbols start to stop of packed bytes."""
+    at = np.arange(start, stop, dtype=np.int64) * bits
+    first = at >> 3
+    word = np.zeros(len(at), np.uint64)
+    for k in range((bits + 14) // 8):
+        word |= data[first + k].astype(np.uint64) << np.uint64(8 * k)
+    return ((word >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
 def _expansion_lengths(rule: np.ndarray, base: int) -> np.ndarray:
@@ -120,14 +148,15 @@ class Container:
 
     def __init__(self, data: bytes):
         magic, n_rules, n_symbols, n_docs, n_offsets, self.base, self.tokens = _HEAD.unpack_from(data)
-        if magic != b"RPG1":
+        if magic != b"RPG2":
             raise ValueError("not a container of tokens")
         at = _HEAD.size
         self.rules = np.frombuffer(data, "<u4", 2 * n_rules, at).reshape(-1, 2)
         at += 8 * n_rules
-        width = data[at]
-        self.symbols = np.frombuffer(data, f"<u{width}", n_symbols, at + 1)
-        at += 1 + width * n_symbols
+        self.bits, self.n_symbols = data[at], n_symbols
+        size = -(-n_symbols * self.bits // 8) + 8
+        self.packed = np.frombuffer(data, np.uint8, size, at + 1)
+        at += 1 + size
         self.offsets = np.frombuffer(data, "<u8", n_offsets, at)
         self.lengths = np.frombuffer(data, "<u4", n_docs, at + 8 * n_offsets)
         self.sizes = _expansion_lengths(self.rules, self.base)
@@ -153,13 +182,16 @@ class Container:
             return np.empty(0, np.uint32)
         return flat[np.repeat(starts[symbols] - (ends - sizes), sizes) + np.arange(ends[-1])]
 
+    def symbols(self, start: int, stop: int) -> np.ndarray:
+        return _unpacked(self.packed, self.bits, start, min(stop, self.n_symbols))
+
     def read(self, start: int, stop: int) -> np.ndarray:
         """Tokens start to stop of the shard; symbols outside the range's checkpoints are not touched."""
         if stop <= start:
             return np.empty(0, np.uint32)
         block = int(np.searchsorted(self.offsets, start, side="right")) - 1
         last = int(np.searchsorted(self.offsets, stop, side="left"))
-        symbols = self.symbols[block * STRIDE : min(last * STRIDE, len(self.symbols))]
+        symbols = self.symbols(block * STRIDE, last * STRIDE)
         ends = int(self.offsets[block]) + np.cumsum(self.sizes[symbols])
         a, b = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left"))
         begin = int(ends[a] - self.sizes[symbols[a]])
@@ -167,7 +199,7 @@ class Container:
 
     def documents(self) -> Iterator[np.ndarray]:
         """All documents' tokens in order."""
-        whole, at = self._expanded(self.symbols), 0
+        whole, at = self._expanded(self.symbols(0, self.n_symbols)), 0
         for n in self.lengths.tolist():
             yield whole[at : at + n]
             at += n
@@ -176,26 +208,28 @@ class Container:
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, tokenizer: str | None = None) -> None:
     """Encode whole texts, append end_id to each, and write containers in ascending doc_id order.
 
-    The rows go to range partitions of doc_id; each task writes its containers through Spark's own
-    writer, so any store works and a repeated task leaves no second copy. Files have a row for each
-    container: first_id, shard (partition), number (of the container in it), tokens, doc_ids and data.
+    The rows go to range partitions of doc_id (and of a hash of the text, so that a hot id is split);
+    each task writes its containers through Spark's own writer, so any store works and a repeated task
+    leaves no second copy. Files have a row for each container: shard (partition), number (of the
+    container in it), before (tokens of the shard's containers before it), tokens, doc_ids and data.
     Null and empty texts give end_id alone. Null ids come first; rows of equal ids follow each other
-    in the order of a hash of their texts. Other columns are not read. An empty table gives no rows.
+    in the order of a hash of their texts. Texts of any length are encoded whole. Other columns are not
+    read, whatever their names. An empty table gives no rows.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, number, held = TaskContext.get().partitionId(), 0, 0
+        shard, number, held, before = TaskContext.get().partitionId(), 0, 0, 0
         ids, parts, lengths = [], [], []
         end = np.array([end_id], "<u4").tobytes()
 
         def closed() -> pa.RecordBatch:
             data = compress(np.frombuffer(b"".join(parts), "<u4"), lengths)
-            return pa.RecordBatch.from_arrays([pa.array([ids[0]], pa.int64()), pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([sum(lengths)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["first_id", "shard", "number", "tokens", "doc_ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["shard", "number", "before", "tokens", "doc_ids", "data"])
 
         for batch in batches:
             enc = encoder(tokenizer)
@@ -207,28 +241,35 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 held += lengths[-1]
                 if held >= CONTAINER_TOKENS:
                     yield closed()
-                    number, held, ids, parts, lengths = number + 1, 0, [], [], []
+                    number, before, held, ids, parts, lengths = number + 1, before + held, 0, [], [], []
         if ids:
             yield closed()
 
-    ordered.mapInArrow(run, "first_id long, shard int, number int, tokens long, doc_ids array<long>, data binary").write.parquet(path)
+    ordered.mapInArrow(run, "shard int, number int, before long, tokens long, doc_ids array<long>, data binary").write.parquet(path)
+
+
+def _starts(stored: DataFrame) -> DataFrame:
+    """(shard, start): the tokens of all shards before. Shards are added up by SHARDS, then these sums, so that no task gets a row for each container."""
+    totals = stored.groupBy("shard").agg(F.sum("tokens").alias("tokens")).withColumn("of", F.floor(F.col("shard") / SHARDS))
+    within = Window.partitionBy("of").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sums = totals.groupBy("of").agg(F.sum("tokens").alias("tokens"))
+    over = sums.select("of", F.coalesce(F.sum("tokens").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return totals.select("shard", "of", F.coalesce(F.sum("tokens").over(within), F.lit(0)).alias("inner")).join(over, "of").select("shard", (F.col("base") + F.col("inner")).alias("start"))
 
 
 def read_tokens(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary) from the files: start is the number of tokens of all documents before."""
     stored = spark.read.parquet(path)
-    # one narrow row for each container, of at least CONTAINER_TOKENS tokens or a whole partition
-    held = stored.select("first_id", "shard", "number", "tokens").collect()
-    held.sort(key=lambda r: (r.first_id is not None, r.first_id or 0, r.shard, r.number))
-    starts, total = {}, 0
-    for r in held:
-        starts[r.shard, r.number] = total
-        total += r.tokens
+    starts = _starts(stored)
+    # a narrow row for each partition of the writing stage
+    starts = F.broadcast(starts) if starts.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS else starts
+    placed = stored.join(starts, "shard").select((F.col("start") + F.col("before")).alias("start"), "doc_ids", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, number, ids, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                at, rows = starts[shard, number], []
+            for k in range(batch.num_rows):
+                at, ids, data = (batch.column(c)[k].as_py() for c in range(3))
+                rows = []
                 for doc_id, tokens in zip(ids, Container(data).documents()):
                     rows.append((doc_id, at, len(tokens), tokens.astype("<u4").tobytes()))
                     at += len(tokens)
@@ -238,7 +279,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return stored.select("shard", "number", "doc_ids", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -247,7 +288,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def op10_token_store(spark, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files, which go when the process ends."""
     path = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
     write_tokens(read_table(spark, sf_dir, "documents"), path)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
