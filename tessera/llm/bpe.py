@@ -1,15 +1,21 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 Texts are cut where a rolling hash of the last eight bytes has its low bits zero, so equal passages
-of different documents are cut alike whatever stands around them. A chunk keeps the ids of its core,
-the part between its first and last ASCII white space; cores are encoded once and reused from a
-bounded cache. The bytes on either side of a cut are joined and encoded again; the span grows over
-chunks without white space until it ends at white space on both sides. The tokenizer's pieces never
-contain white space and its normaliser never composes across it, so both encodings agree from there.
+of different documents are cut alike whatever stands around them. A chunk keeps its whole words, those
+between its first and its last ASCII white space; they are encoded once and reused from a bounded
+cache. Chunks are joined by repair: what stands around a cut, together with a whole word that is
+already encoded on either side, is encoded anew by the library, and the join holds if these ids begin
+and end with the ids of the two known words. Where they don't agree, the repair grows to the whole
+text. Chunks without a whole word are taken into the repair.
+
+This holds for tokenizers whose pieces never contain white space and whose tokens have no decoder, as
+the file says itself (see splits_at_space). The texts of any other tokenizer go through the library
+whole, both ways.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable
@@ -44,6 +50,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def splits_at_space(spec: dict) -> bool:
+    """Whether a tokenizer file says that pieces never contain white space and that tokens decode with blanks between.
+
+    White space goes before splitting or is dropped by it: a Replace of runs of it by a blank and no
+    normaliser that joins across blanks, then a Split that keeps matches of a pattern only, none of
+    whose alternatives takes in white space. No special tokens with blanks, and no decoder.
+    """
+
+    def steps(part: dict | None, name: str) -> list[dict]:
+        return [] if not part else part[name] if part["type"] == "Sequence" else [part]
+
+    normal, cut = steps(spec.get("normalizer"), "normalizers"), steps(spec.get("pre_tokenizer"), "pretokenizers")
+    if any(x["type"] not in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace") for x in normal) or any(x["type"] == "Replace" and x.get("pattern") != {"Regex": "\\s+"} for x in normal):
+        return False
+    if not cut or cut[0]["type"] != "Split" or cut[0]["behavior"] != "Removed" or not cut[0]["invert"]:
+        return False
+    safe = all(re.fullmatch(r"'[a-z]+|\[?\\p\{[LN]\}\]?\+?|\[\^\\s\\p\{L\}\\p\{N\}\]\+", x) for x in cut[0]["pattern"].get("Regex", " ").split("|"))
+    rest = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in cut[1:])
+    return safe and rest and not spec.get("decoder") and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", ()))
+
+
 class Generations(dict):
     """A cache that makes what it lacks, in two generations: at the limit the young entries become old and the old ones go."""
 
@@ -77,7 +104,11 @@ class Encoder:
         self.pieces = Generations(WORD_ENTRIES, self._piece)
         self.words = Generations(WORD_ENTRIES, self._word)
         self.word = self.words.__getitem__
-        self.plain = self._same_pieces()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.by_words = splits_at_space(spec)
+        self.plain = self.by_words and bool(self.model) and self._same_pieces()
+        self.repairs = Generations(WORD_ENTRIES, lambda span: self._library(span.decode("utf-8", "surrogatepass")))
         self.chunks: dict[bytes, tuple] = {}
         self.chunk_bytes = 0
         size = self.tokenizer.get_vocab_size()
@@ -100,31 +131,38 @@ class Encoder:
 
     def _word(self, word: bytes) -> bytes:
         """The ids of a run of bytes without ASCII white space."""
-        if self.plain and word.isalpha():  # ASCII letters: a single piece
-            return self.pieces[word.lower().decode()]
-        text = word.decode("utf-8", "surrogatepass")
-        return self._pieces(text) if self.plain and _PLAIN.fullmatch(text) else self._library(text)
+        if self.plain:
+            if word.isalpha():  # ASCII letters: a single piece
+                return self.pieces[word.lower().decode()]
+            text = word.decode("utf-8", "surrogatepass")
+            if _PLAIN.fullmatch(text):
+                low = text.lower()
+                if low.isalpha():
+                    return self.pieces[low]
+                if low[:-1].isalpha() and not low[-1].isdigit():
+                    return self.pieces[low[:-1]] + self.pieces[low[-1]]
+                return self._pieces(text)
+            return self._library(text)
+        return self._library(word.decode("utf-8", "surrogatepass"))
 
     def span(self, span: bytes) -> bytes:
         """The ids of bytes that begin and end at white space, or at an end of the text."""
-        return b"".join(map(self.word, span.split()))
-
-    def chunk(self, chunk: bytes) -> tuple:
-        """(bytes before the first white space, ids of the core, bytes after the last), or (chunk, None, b"") without white space."""
-        got = self.chunks.get(chunk)
-        if got is None:
-            head = chunk.split(None, 1)
-            if chunk[:1].isspace():
-                first = b""
-            else:
-                first = head[0] if head else b""
-            if first == chunk:
-                got = (chunk, None, b"")
-            else:
-                last = b"" if chunk[-1:].isspace() else chunk.rsplit(None, 1)[-1]
-                core = chunk[len(first) : len(chunk) - len(last)]
-                got = (first, self.span(core), last)
-            cost = len(chunk) + 600 + 4 * len(chunk)
+        return b"".join(map(self.word, span.split())) if self.by_words else self._library(span.decode("utf-8", "surrogatepass"))
+
+    def chunk(self, chunk: bytes) -> tuple | None:
+        """(bytes up to the end of its first whole word, ids of that word, ids of all whole words, bytes from the last whole word on, ids of that word), or None without a whole word."""
+        got = self.chunks.get(chunk, 0)
+        if got == 0:
+            words = chunk.split()
+            # the first and the last run of bytes may go on beyond the cut
+            whole = words[not chunk[:1].isspace() : len(words) - (not chunk[-1:].isspace())]
+            got = None
+            if whole:
+                ids = list(map(self.word, whole))
+                first = chunk.index(whole[0], 0 if chunk[:1].isspace() else len(words[0])) + len(whole[0])
+                last = chunk.rindex(whole[-1], 0, len(chunk) if chunk[-1:].isspace() else len(chunk) - len(words[-1]))
+                got = (chunk[:first], ids[0], b"".join(ids), chunk[last:], ids[-1])
+            cost = 6 * len(chunk) + 700
             if self.chunk_bytes + cost > CHUNK_BYTES:
                 self.chunks.clear()
                 self.chunk_bytes = 0
@@ -132,31 +170,40 @@ class Encoder:
             self.chunk_bytes += cost
         return got
 
-    def document(self, chunks: Iterable[bytes]) -> bytes:
-        """Chunks of one text, joined: the bytes on either side of each cut are encoded again."""
-        out, seam = [], b""
+    def document(self, chunks: Iterable[bytes]) -> bytes | None:
+        """Chunks of one text, joined; None where a repair doesn't agree with the words on both sides."""
+        out, pending, known = [], b"", b""
         for c in chunks:
-            head, core, tail = self.chunk(c)
-            if core is None:
-                seam += head
+            found = self.chunk(c)
+            if found is None:
+                pending += c
                 continue
-            seam += head
-            if seam:
-                out.append(self.word(seam))
+            head, first, core, tail, last = found
+            repaired = self.repairs[pending + head]
+            if not (repaired.startswith(known) and repaired.endswith(first) and len(repaired) >= len(known) + len(first)):
+                return None
+            out.append(repaired[len(known) : len(repaired) - len(first)])
             out.append(core)
-            seam = tail
-        if seam:
-            out.append(self.word(seam))
+            pending, known = tail, last
+        repaired = self.repairs[pending]
+        if not repaired.startswith(known):
+            return None
+        out.append(repaired[len(known) :])
         return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_words:
+            return [self._library(t or "") for t in texts]
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        return [self.document(c) for c in cut(raw)]
+        return [self._library(t or "") if ids is None else ids for t, ids in zip(texts, map(self.document, cut(raw)))]
 
     def decode(self, ids: bytes) -> str:
-        """As the library's decode(ids, skip_special_tokens=False) for a tokenizer without a decoder: tokens with blanks between."""
+        """As the library's decode(ids, skip_special_tokens=False); for a tokenizer without a decoder that is its tokens with blanks between."""
+        numbers = memoryview(ids).cast("I") if ids else ()
+        if not self.by_words:
+            return self.tokenizer.decode(list(numbers), skip_special_tokens=False)
         tokens = self.tokens
-        return " ".join([tokens[i] for i in memoryview(ids).cast("I")]) if ids else ""
+        return " ".join([tokens[i] for i in numbers])
 
 
 def _byte_char(b: int) -> str:
@@ -217,8 +264,9 @@ def bpe_encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Returns (doc_id, n_tokens long, ids binary [, decoded string]): ids are little-endian unsigned
     32-bit integers; decoded is the text that the library's decode gives for them. One row for each
     input row, also for repeated ones and for null ids. Null and empty texts have no ids and decode
-    to the empty text. Other columns of docs are not read, so their names can't clash. tokenizer is
-    the file's path on the executors; None is the public word-level BPE.
+    to the empty text. Texts of any length are encoded whole. Other columns of docs are not read, so
+    their names can't clash. An empty table gives no rows. tokenizer is the file's path on the
+    executors, of any kind the library reads; None is the public word-level BPE.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = dict(docs.dtypes)["doc_id"]
