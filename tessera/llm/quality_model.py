@@ -4,7 +4,8 @@ Numeric features of the whole text are cut into bins. Boosting goes round the fe
 each step fits a shallow tree on one feature's bins to the logistic gradient and adds it, shrunk, to the
 feature's lookup table. Then pairs of features are ranked by what a coarse grid of both takes from the
 remaining loss, and the best are boosted in the same cyclic way on their grids. A score is the sum of the
-intercept and one table entry for each feature and pair: vectorised lookups, no trees.
+intercept and one table entry for each feature and pair: vectorised lookups, no trees. A step on a pair
+fits a tree of depth two: one cut of one feature, and one cut of the other feature on either side of it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ ROUNDS, PAIR_ROUNDS, RATE, LEAVES, LEAST = 150, 60, 0.1, 4, 20.0
 PREDICT = 0.3
 
 FEATURES = (
-    "log_chars", "log_words", "mean_word", "longest_word", "upper_share", "digit_share", "symbol_share", "punct_share", "space_share", "bar_words", "symbol_words",
+    "log_chars", "log_words", "mean_word", "longest_word", "upper_share", "digit_share", "symbol_share", "punct_share", "space_share", "symbol_words",
     "distinct_words", "repeat_next", "top_word", "repeat_triples", "lines", "mean_line", "dup_lines", "stop_end", "upper_words", "short_words", "accent_share",
 )
 _SYMBOLS = frozenset(b"#*$%&|<>@^~=+{}[]\\/_")
@@ -58,7 +59,7 @@ def features(text: str | None) -> list[float]:
     repeated = 1 - len(np.unique(triples)) / len(triples) if len(triples) else 0.0
     lines = [x for x in raw.split(b"\n") if x.strip()]
     return [
-        np.log1p(size), np.log1p(n), sum(lengths) / n, float(min(max(lengths), 1000)), upper, digit, symbol, punct, space, words.count(b"|") / n, sum(1 for w in number if w[-1] in _SYMBOLS) / len(number),
+        np.log1p(size), np.log1p(n), sum(lengths) / n, float(min(max(lengths), 1000)), upper, digit, symbol, punct, space, sum(1 for w in number if w[-1] in _SYMBOLS) / len(number),
         len(number) / n, float((ids[1:] == ids[:-1]).mean()) if n > 1 else 0.0, float(of_word.max()) / n, repeated, np.log1p(len(lines)), n / len(lines), 1 - len(set(lines)) / len(lines), sum(1 for x in lines if x.rstrip()[-1:] in b".!?") / len(lines),
         sum(1 for w in number if _UPPER.match(w)) / len(number), sum(1 for x in lengths if x <= 3) / n, float(counts[128:].sum()) / size,
     ]
@@ -101,6 +102,40 @@ def _tree(gradient: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pair_tree(gradient: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Values by cell of the best tree of depth two over a grid: a cut by rows and one by columns on either side, or the other way round."""
+
+    def best(g: np.ndarray, w: np.ndarray) -> tuple[float, int, tuple[int, int]]:
+        """Gain, row cut and column cuts above and below, rows cut first."""
+        if min(g.shape) < 2:
+            return 0.0, 0, (0, 0)
+        # sums over the rows up to each cut, and over those beyond; then over the columns up to each cut
+        top, top_w = np.cumsum(g, axis=0)[:-1], np.cumsum(w, axis=0)[:-1]
+        gain, cuts = np.zeros(len(top)), []
+        for half, half_w in ((top, top_w), (g.sum(axis=0) - top, w.sum(axis=0) - top_w)):
+            left, left_w = np.cumsum(half, axis=1), np.cumsum(half_w, axis=1)
+            all_g, all_w = left[:, -1:], left_w[:, -1:]
+            left, left_w = left[:, :-1], left_w[:, :-1]
+            enough = (left_w >= LEAST / 4) & (all_w - left_w >= LEAST / 4)
+            of = np.where(enough, left**2 / (left_w + 1) + (all_g - left) ** 2 / (all_w - left_w + 1), 0)
+            gain += of.max(axis=1)
+            cuts.append(of.argmax(axis=1) + 1)
+        k = int(gain.argmax())
+        return float(gain[k]), k + 1, (int(cuts[0][k]), int(cuts[1][k]))
+
+    by_rows, by_columns = best(gradient, weight), best(gradient.T, weight.T)
+    turned = by_columns[0] > by_rows[0]
+    gain, cut, inner = by_columns if turned else by_rows
+    out = np.zeros(gradient.shape)
+    if gain <= 1e-9:
+        return out
+    g, w, view = (gradient.T, weight.T, out.T) if turned else (gradient, weight, out)
+    for rows, c in ((slice(0, cut), inner[0]), (slice(cut, None), inner[1])):
+        for columns in (slice(0, c), slice(c, None)):
+            view[rows, columns] = g[rows, columns].sum() / (w[rows, columns].sum() + 1)
+    return out
+
+
 class AdditiveModel:
     """Bins, lookup tables and intercept."""
 
@@ -146,9 +181,7 @@ class AdditiveModel:
                 shape = self.grids[q].shape
                 cell = small[a] * shape[1] + small[b]
                 gg, hh = (np.bincount(cell, v, shape[0] * shape[1]).reshape(shape) for v in (g, h))
-                # a depth-two tree: the better of cutting rows first or columns first
-                by_rows = np.stack([_tree(gg[i], hh[i]) for i in range(shape[0])]) if shape[0] <= shape[1] else np.stack([_tree(gg[:, i], hh[:, i]) for i in range(shape[1])], axis=1)
-                step = RATE * by_rows * (hh / (hh + LEAST / 4))
+                step = RATE * _pair_tree(gg, hh)
                 self.grids[q] += step
                 score += step[small[a], small[b]]
 
@@ -165,17 +198,19 @@ class AdditiveModel:
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: float = PREDICT) -> DataFrame:
     """(doc_id, held_out boolean, score double, predicted int) for every row of docs.
 
-    labels has doc_id and quality (0 or 1; other values and nulls are left out). The model is fitted on
-    at most `sample` labelled rows that are not held out, the first by a hash of their ids; features
-    alone are its inputs. Features are computed once for all texts and kept in the shared folder. Null
-    and empty texts have features of 0 and get a score like others. Without labels of both kinds every
-    score is the share of label 1, smoothed. Rows with null or repeated ids are scored like others.
+    labels has doc_id and quality (0 or 1; other values and nulls are left out; of several for an id
+    the smallest counts). The model is fitted on at most `sample` labelled ids that are not held out,
+    the first by a hash of them, a row of features for each (of an id's several the smallest); features
+    alone are its inputs. Features are computed once for all whole texts, however long, and kept in the
+    shared folder. Null and empty texts have features of 0 and get a score like others. Without labels
+    of both kinds every score is the share of label 1, smoothed. Rows with null or repeated ids are
+    scored like others; other columns are not read, whatever their names. An empty table gives no rows.
     """
     known = checkpointed(text_features(docs, id_col, text_col))
-    usable = labels.select(F.col("doc_id").alias("label_id"), "quality").where("quality in (0, 1) and label_id is not null").where(~held_out(F.col("label_id"))).dropDuplicates(["label_id"])
+    usable = labels.select(F.col("doc_id").alias("label_id"), "quality").where("quality in (0, 1) and label_id is not null").where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.min("quality").alias("quality"))
     chosen = F.broadcast(usable.orderBy(F.xxhash64("label_id"), "label_id").limit(sample))
-    rows = known.join(chosen, known["doc_id"] == chosen["label_id"]).select("label_id", "quality", "features").collect()
-    rows.sort(key=lambda r: (r.label_id, r.features))
+    rows = known.join(chosen, known["doc_id"] == chosen["label_id"]).groupBy("label_id", "quality").agg(F.min("features").alias("features")).collect()
+    rows.sort(key=lambda r: r.label_id)
     x = np.array([r.features for r in rows], float).reshape(-1, len(FEATURES))
     model = AdditiveModel(x, np.array([r.quality for r in rows], float))
 
