@@ -1,6 +1,6 @@
 """Language identification by sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Texts become lower-case letters with one blank between words. Their 1- to 3-grams go to 2**BITS
+Texts become lower-case letters (with their combining marks) and one blank between words. Their 1- to 3-grams go to 2**BITS
 hashed features; a feature's value is its share of the text's n-grams times its inverse document
 frequency. Weights are trained by follow-the-regularised-leader with elastic-net penalties, which leaves
 most of them exactly 0, and a temperature is fitted on rows kept apart from training. Values enter a
@@ -30,16 +30,26 @@ UNKNOWN = "und"
 
 @cache
 def _letters() -> np.ndarray:
-    """For each code point: its lower-case letter, or a blank."""
+    """For each code point: its lower-case letter, itself for a combining mark, or a blank."""
     points = np.full(0x110000, 32, np.uint32)
     for p in range(0x30000):
-        if not 0xD800 <= p <= 0xDFFF and unicodedata.category(chr(p))[0] == "L":
+        if not 0xD800 <= p <= 0xDFFF and unicodedata.category(chr(p))[0] in "LM":
             low = chr(p).lower()
             points[p] = ord(low) if len(low) == 1 else p
     points[0x30000:0x33480] = np.arange(0x30000, 0x33480)
     return points
 
 
+@cache
+def _marks() -> np.ndarray:
+    """Whether each code point is a combining mark: those alone are no letters."""
+    marks = np.zeros(0x110000, bool)
+    for p in range(0x20000):
+        marks[p] = not 0xD800 <= p <= 0xDFFF and unicodedata.category(chr(p))[0] == "M"
+    marks[0xE0100:0xE01F0] = True
+    return marks
+
+
 def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The texts' letters and single blanks, one text after the other, and where each begins; a text begins and ends with a blank."""
     raw = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
@@ -79,7 +89,7 @@ def ngrams(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def has_letter(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(points))))
-    return np.bincount(of, points != 32, len(starts)) > 0
+    return np.bincount(of, (points != 32) & ~_marks()[points], len(starts)) > 0
 
 
 class LanguageModel:
@@ -152,7 +162,12 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """A model of at most `sample` documents that are not held out and have a language and a letter; whole texts become counts on the executors."""
+    """A model of at most `sample` documents that are not held out and have a language and a letter.
+
+    The documents are those whose ids come first by a hash; of several rows of an id one counts, the
+    smallest by language and n-grams. Whole texts become counts of n-grams on the executors, and only
+    the chosen documents' counts, at most 2**BITS each, reach the driver.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -167,13 +182,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f, pa.list_(pa.int32())), pa.array(c, pa.list_(pa.int32()))], names=["doc_id", "lang", "f", "c"])
 
     counted = map_arrow(rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", "text"), of, f"doc_id {dict(rows.dtypes)['doc_id']}, lang string, f array<int>, c array<int>").where("size(f) > 0")
-    table = counted.toArrow().to_pylist()
-    table.sort(key=lambda r: (str(r["doc_id"])[::-1], r["lang"], len(r["f"]), r["f"]))  # a fixed order that mixes the ids
-    return LanguageModel([(np.array(r["f"], np.int64), np.array(r["c"], float), r["lang"]) for r in table[: 2 * sample]])
+    one = counted.groupBy("doc_id").agg(F.min(F.struct("lang", F.size("f").alias("n"), "f", "c")).alias("row")).select("doc_id", "row.lang", "row.f", "row.c")
+    table = one.toArrow().to_pylist()
+    table.sort(key=lambda r: str(r["doc_id"])[::-1])  # a fixed order that mixes the ids
+    return LanguageModel([(np.array(r["f"], np.int64), np.array(r["c"], float), r["lang"]) for r in table])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred string, score double) for every row of docs; whole texts are read, other columns are not."""
+    """(doc_id, lang_pred string, score double) for every row of docs.
+
+    Whole texts are read, however long; other columns are not, whatever their names. Null texts and
+    texts without a letter are UNKNOWN with a score of 0, and so is everything where nothing was
+    learned. Of equally likely languages the first by name is given. Rows with null or repeated ids are
+    predicted like others; an empty table gives no rows.
+    """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
