@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import bpe, decontaminate, html_text, language, licenses, line_dedup, near_dup, quality_model, quality_rules, registry, token_store
+from tessera.llm import bpe, common, decontaminate, html_text, language, licenses, line_dedup, near_dup, quality_model, quality_rules, registry, token_store
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, node long, key string"
@@ -117,6 +117,33 @@ def test_near_duplicates_against_brute_force(spark, docs, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 8])
+def test_large_mixed_buckets_lose_no_link(spark, monkeypatch, rounds):
+    """A dense group around the threshold, in blocks of eight: with and without rounds of new hubs all components are those of brute force."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "PARTNERS", 4)
+    monkeypatch.setattr(near_dup, "ROUNDS", rounds)
+    rng = np.random.default_rng(23)
+    rows = []
+    for n in range(150):  # variants of one text, most pairs on either side of the threshold
+        words = [f"t{k}" for k in range(120)]
+        for k in rng.choice(120, int(rng.integers(1, 6)), replace=False):
+            words[k] = f"z{n}_{k}"
+        rows.append((n, " ".join(words)))
+    rows += [(200, rows[3][1]), (3, rows[70][1]), (201, None)]  # a copy, a second text of an id
+    want = brute_components(rows, 3, 80)
+    by_doc = {}
+    for (i, _), c in want.items():
+        by_doc.setdefault(i, set()).add(c)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3).collect()
+    assert len(got) == len(rows) and len({r.component_id for r in got}) > 3
+    joined = {}  # brute force has a component for each text; those of one doc_id are one
+    for r in got:
+        for c in by_doc[r.doc_id]:
+            assert joined.setdefault(c, r.component_id) == r.component_id
+    assert len(set(joined.values())) == len({min(joined[c] for c in cs) for cs in by_doc.values()})
+
+
 def test_search_between_components_within_tasks(spark, monkeypatch):
     """With one hub pair ruled out, the complete search finds the link."""
     a = [f"a{k}" for k in range(100)]
@@ -168,6 +195,32 @@ def test_encoding_of_seams(library):
     assert any(len(c) > 3 for c in bpe.cut([r.encode() for r in runs]))
 
 
+def test_other_tokenizers():
+    """A tokenizer that keeps white space goes through the library whole, both ways."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want, enc = Tokenizer.from_file(path), bpe.Encoder(path)
+    assert not enc.by_words and bpe.encoder().by_words
+    for text in ("hello  world, a b", "", None, " x\n\n y", "Ünïcode 中文 <|endoftext|>", LONG[:5000]):
+        ids = want.encode(text or "", add_special_tokens=False).ids
+        got = enc.encode([text])[0]
+        assert np.frombuffer(got, "<u4").tolist() == ids and enc.span((text or "").encode()) == got
+        assert enc.decode(got) == want.decode(ids, skip_special_tokens=False)
+
+
+def test_repairs_that_disagree_grow(library, monkeypatch):
+    """Where a join doesn't agree with the words on its sides, the whole text is encoded."""
+    enc = bpe.Encoder(bpe.default_tokenizer())
+    text = prose(21, 400)
+    want = library.encode(text, add_special_tokens=False).ids
+    assert enc.document(bpe.cut([text.encode()])[0]) == enc.encode([text])[0] == np.array(want, "<u4").tobytes()
+    monkeypatch.setattr(enc, "repairs", bpe.Generations(10, lambda span: b"\0\0\0\0"))
+    assert enc.document(bpe.cut([text.encode()])[0]) is None
+    assert enc.encode([text])[0] == np.array(want, "<u4").tobytes()
+
+
 def test_shared_passages_are_cut_alike():
     passage = prose(11, 600)
     one, two = bpe.cut([("x " + passage + " tail").encode(), ("another beginning " + passage).encode()])
@@ -209,6 +262,25 @@ def test_line_dedup_of_spread_changes(spark):
     assert [r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string"), min_docs=5).collect()] == [0] * 4
 
 
+def test_line_dedup_counts_documents(spark):
+    """A template's documents are counted once each, however many of its lines they hold."""
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30)]
+    variant = lambda k: " ".join(words[:20] + [f"v{chr(97 + k)}"] + words[20:])
+    texts = [(1, variant(0) + "\n" + variant(1)), (2, variant(2) + "\n" + variant(3)), (3, "none of this"), (5, variant(0)), (6, "same line of seven tokens here\nsame line of seven tokens here"), (7, "same line of seven tokens here")]
+    of = lambda rows, n: {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=n).collect()}
+    assert of(texts, 2) == {1: 0, 2: 2, 3: 0, 5: 1, 6: 0, 7: 1}
+    assert of(texts, 3) == {1: 0, 2: 2, 3: 0, 5: 1, 6: 0, 7: 0}
+    assert of(texts, 4) == {1: 0, 2: 0, 3: 0, 5: 0, 6: 0, 7: 0}
+    assert of([t for t in texts if t[0] != 5], 3) == {1: 0, 2: 0, 3: 0, 6: 0, 7: 0}
+
+
+def test_line_dedup_keeps_short_statements(spark):
+    """Short lines that differ in a word are different statements; in a number they are the same template."""
+    texts = [(1, "the price of gold rose\nwe sold 10 units of it"), (2, "the price of gold fell\nwe sold 12 units of it")]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: texts[0][1], 2: "the price of gold fell"}
+
+
 def brute_rules(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0
@@ -268,6 +340,61 @@ def test_additive_model_learns_an_interaction():
     assert ((model.scores(x[3000:]) >= 0.5) == y[3000:]).mean() > 0.85
 
 
+def test_trees_of_pairs_against_all_cuts():
+    """The step on a pair is the best of all trees of depth two, found by trying them."""
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        shape = rng.integers(2, 7, 2)
+        g, w = rng.normal(size=shape), rng.uniform(3, 9, shape)
+        best = (0.0, None)
+        for turned in (False, True):
+            a, b = (g.T, w.T) if turned else (g, w)
+            for cut in range(1, len(a)):
+                gain, leaves = 0.0, []
+                for rows in (slice(0, cut), slice(cut, None)):
+                    options = [(0.0, None)]
+                    for c in range(1, a.shape[1]):
+                        sums = [(a[rows, s].sum(), b[rows, s].sum()) for s in (slice(0, c), slice(c, None))]
+                        if min(x for _, x in sums) >= quality_model.LEAST / 4:
+                            options.append((sum(x * x / (y + 1) for x, y in sums), c))
+                    gain += max(options, key=lambda o: o[0])[0]
+                    leaves.append((rows, max(options, key=lambda o: o[0])[1] or 1))
+                if gain > best[0] + 1e-12:
+                    best = (gain, (turned, leaves))
+        want = np.zeros(shape)
+        if best[1]:
+            turned, leaves = best[1]
+            view, a, b = (want.T, g.T, w.T) if turned else (want, g, w)
+            for rows, c in leaves:
+                for s in (slice(0, c), slice(c, None)):
+                    view[rows, s] = a[rows, s].sum() / (b[rows, s].sum() + 1)
+        assert np.allclose(quality_model._pair_tree(g, w), want)
+        assert len(np.unique(want)) <= 4
+
+
+def test_additive_scores_by_hand():
+    """A score is the logistic of the intercept and one entry of each table, looked up value by value."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(600, len(quality_model.FEATURES)))
+    model = quality_model.AdditiveModel(x[:500], (x[:500, 0] + x[:500, 1] * x[:500, 2] > 0).astype(float))
+    for row, score in zip(x[500:], model.scores(x[500:])):
+        total = model.intercept
+        for j, table in enumerate(model.tables):
+            total += table[sum(c <= row[j] for c in model.cuts[j])]
+        for (a, b), grid in zip(model.pairs, model.grids):
+            total += grid[sum(c <= row[a] for c in model.coarse[a])][sum(c <= row[b] for c in model.coarse[b])]
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-12
+
+
+def test_quality_of_repeated_ids(spark, docs):
+    """An id counts once in fitting, whatever its rows and labels."""
+    labels = [(1, 1), (2, 1), (9, 0), (10, 0), (8, 1)]
+    once = spark.createDataFrame(labels, "doc_id long, quality int")
+    often = spark.createDataFrame(labels * 3, "doc_id long, quality int")
+    scores = [sorted((r.doc_id or 0, r.score) for r in quality_model.quality_scores(d, x).distinct().collect()) for d, x in ((docs, once), (docs.union(docs), often))]
+    assert scores[0] == scores[1]
+
+
 def test_quality_scores(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1), (2, 1), (9, 0), (10, 0), (None, 1), (8, None)], "doc_id long, quality int")
     got = quality_model.quality_scores(docs, labels).collect()
@@ -304,6 +431,73 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language.identify(table, nothing).collect()} == {"und"}
 
 
+def simple_ftrl(rows):
+    """Follow-the-regularised-leader, feature by feature, in plain Python: the languages, weights and biases."""
+    languages, size = sorted({x for _, _, x in rows}), 2**language.BITS
+    frequency = Counter(int(f) for fs, _, _ in rows for f in fs)
+    idf = lambda f: math.log((1 + len(rows)) / (1 + frequency[f])) + 1
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f, j):
+        if abs(z[f, j]) <= language.L1:
+            return 0.0
+        return -(z[f, j] - math.copysign(language.L1, z[f, j])) / ((language.BETA + math.sqrt(n[f, j])) / language.ALPHA + language.L2)
+
+    kept = [r for k, r in enumerate(rows) if k % 10]
+    for _ in range(language.PASSES):
+        for fs, counts, lang in kept:
+            x = {int(f): language.SCALE * idf(int(f)) * c / sum(counts) for f, c in zip(fs, counts)} | {size: 1.0}
+            w = {(f, j): weight(f, j) for f in x for j in range(len(languages))}
+            logits = [sum(v * w[f, j] for f, v in x.items()) for j in range(len(languages))]
+            p = [math.exp(v - max(logits)) for v in logits]
+            for j, q in enumerate(p):
+                slope = q / sum(p) - (languages[j] == lang)
+                for f, v in x.items():
+                    g = v * slope
+                    sigma = (math.sqrt(n[f, j] + g * g) - math.sqrt(n[f, j])) / language.ALPHA
+                    z[f, j] += g - sigma * w[f, j]
+                    n[f, j] += g * g
+    return languages, {(f, j): language.SCALE * idf(f) * weight(f, j) for f, j in list(z) if f < size}, [weight(size, j) for j in range(len(languages))]
+
+
+def test_language_model_against_plain_python():
+    """Weights equal those of FTRL step by step; predictions equal sums of weights, n-gram by n-gram, calibrated."""
+    rng = np.random.default_rng(12)
+    vocabulary = {"en": "the and of with this that".split(), "de": "der die und nicht auch ein".split(), "fr": "le la et des avec pour".split()}
+    texts = [(" ".join(rng.choice(vocabulary[x], 6)), x) for x in list(vocabulary) * 12]
+    rows = []
+    for text, lang in texts:
+        grams, _, _ = language.ngrams(*language.letters([text]))
+        f, c = np.unique(grams, return_counts=True)
+        rows.append((f, c.astype(float), lang))
+    model = language.LanguageModel(rows)
+    languages, weights, bias = simple_ftrl(rows)
+    assert model.languages == languages and np.allclose(model.bias, bias, atol=1e-5)
+    dense = np.zeros_like(model.table)
+    for (f, j), w in weights.items():
+        dense[f, j] = w
+    assert np.allclose(model.table, dense, atol=1e-4) and 0 < (dense != 0).mean() < 0.05
+    for text in ("the die avec", "und", LONG[:3000]):
+        grams, _, _ = language.ngrams(*language.letters([text]))
+        logits = [(sum(dense[g][j] for g in grams) / len(grams) + bias[j]) / model.temperature for j in range(3)]
+        p = np.exp(np.array(logits) - max(logits))
+        got, score = model.predict([text])
+        assert got == [languages[int(p.argmax())]] and abs(score[0] - p.max() / p.sum()) < 1e-4
+
+
+def test_language_of_odd_rows(spark, docs, empty):
+    rows = [(k, " ".join(np.random.default_rng(k).choice(("the and of with this that".split(), "der die und nicht auch ein".split())[k % 2], 30)), ("en", "de")[k % 2], "clash") for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    model = language.fit(table)
+    same = language.fit(table.union(table).union(table))
+    assert (model.table == same.table).all() and model.temperature == same.temperature  # repeated rows count once
+    got = language.identify(docs, model).collect()
+    assert len(got) == len(ROWS) and {r.lang_pred for r in got if r.doc_id in (3, 4, 5, 10)} == {"und"} and all(0 <= r.score <= 1 for r in got)
+    assert {r.lang_pred for r in got if r.doc_id in (7, None)} <= {"en", "de"}  # a very long text, a null id
+    marks = language.letters(["\u0915\u093f\u0924\u093e\u092c", "\u0301 \u0301"])
+    assert 32 not in marks[0][1:6].tolist() and language.has_letter(*marks).tolist() == [True, False]
+
+
 @pytest.mark.parametrize(
     "page,text",
     [
@@ -317,6 +511,106 @@ def test_html(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<tr>x", "x"), ("<thead>x", "x"), ("<td>a<td>b", "a b"), ("<td colspan='²'>a", "a"), ("<table><tr><td colspan='²'>a<td>b", "a  b"), ("<table><tr><td colspan=" + "9" * 5000 + ">a", "a"), ("<ol start='²'><li>x", "1. x"), ("<ol start='--5'><li>x", "1. x"), ("<ol start=-5><li>x<li value=9>y", "-5. x\n9. y"),
+        ("<div>" * 250 + "<div hidden><p>SECRET", ""), ("<table>" * 300 + "<tr><td>x", "x"), ("<div>" * 100_000 + "x", "x"), ("<table><tr><td>" * 3_000 + "x", "x"), ("<p><button>" + "<div>" * 50_000 + "x", "x"), ("&#" + "9" * 5000 + ";x&#0000000065;", "\ufffdxA"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d</table>", "a  b\n   c\nd"), ("<table><tr><td colspan=2>long text<td>x<tr><td>a<td>b<td>c</table>", "long text  x\na  b       c"),
+        ("<table><tr><td>a<td>b<tr><td colspan=1000>wide</table>", "a  b\nwide"), ("<ul><li><p>a<p>b<li>c</ul>", "- a\n\n  b\n- c"), ("<ul><li><ul><li>x</ul></ul>", "- - x"), ("<table><tr><td>" + "w" * 600 + "<td>x<br>y<tr><td>a<td>b</table>", "w" * 600 + "\nx\ny\na  b"),
+    ],
+)
+def test_broken_html(page, text):
+    assert html_text.render(page) == text
+
+
+TAGS = "p div span ul ol li table tr td th thead tbody tfoot caption col dl dt dd pre b i a h1 h2 select option button form blockquote br hr center section".split()
+ATTRIBUTES = ["", "", "", " colspan=2", " rowspan=3", " rowspan=0", " start=5", " class=x", " colspan='²'", " 'open"]
+
+
+def test_tag_soup_loses_no_text():
+    """10,000 pages of random start and end tags: all words are there, once; under a hidden element none is."""
+    rng = np.random.default_rng(6)
+    for n in range(10_000):
+        soup, words = [], []
+        for kind, tag, attributes in zip(rng.uniform(size=30), rng.integers(0, len(TAGS), 30), rng.integers(0, len(ATTRIBUTES), 30)):
+            if kind < 0.4:
+                soup.append(f"<{TAGS[tag]}{ATTRIBUTES[attributes]}>")
+            elif kind < 0.65 and n % 2:
+                soup.append(f"</{TAGS[tag]}>")
+            else:
+                words.append(f"w{len(words)}")
+                soup.append(f" {words[-1]} ")
+        page = "".join(soup)
+        assert sorted(re.findall(r"w[0-9]+", html_text.render(page))) == sorted(words), page
+        if n % 2 == 0:
+            assert html_text.render(f"a<div style='display: none'>{page}") == "a", page
+
+
+def simple_layout(tree) -> list[str]:
+    """A plain recursive renderer of well-formed trees (tag, children): lists, quotations and cells get their lines by calls of their own."""
+    events = []  # texts, gaps, and lists of finished lines
+
+    def visit(tree):
+        for child in tree[1]:
+            if isinstance(child, str):
+                events.append(child)
+            elif child[0] == "b":
+                visit(child)
+            elif child[0] != "hidden":
+                around = 1 if child[0] in ("p", "table", "blockquote") or child[0] == "ul" and tree[0] != "li" else 0
+                events.append(around)
+                if child[0] == "table":
+                    cells = [[simple_layout(c) for c in row[1]] for row in child[1]]
+                    width = [max(len(x) for row in cells for x in [*row[c], ""]) + 2 for c in range(len(cells[0]))]
+                    events.append(["".join((cell[h] if h < len(cell) else "").ljust(w) for cell, w in zip(row, width)).rstrip() for row in cells for h in range(max(map(len, row)))])
+                elif child[0] in ("li", "blockquote"):
+                    mark = "- " if child[0] == "li" else "  "
+                    events.append([(mark if k == 0 else "  " if x else "") + x for k, x in enumerate(simple_layout(child))])
+                else:
+                    visit(child)
+                events.append(around)
+
+    visit(tree)
+    lines, inline, gap = [], "", 0
+    for e in [*events, 0]:
+        if isinstance(e, str):
+            inline += e
+            continue
+        for new in (re.findall(r"\S.*\S", re.sub(" +", " ", inline)), e if isinstance(e, list) else []):
+            if new:
+                lines += [""] * (gap if lines else 0) + new
+                gap = 0
+        inline, gap = "", max(gap, e) if isinstance(e, int) else gap
+    return lines
+
+
+def test_html_against_a_simple_renderer():
+    rng = np.random.default_rng(8)
+    number = iter(range(10**9))
+
+    def node(tag, depth):
+        if tag == "b" or depth == 0:
+            return ("div" if tag == "table" else tag, [f" w{next(number)} "])
+        if tag == "ul":
+            return (tag, [node("li", depth - 1) for _ in range(rng.integers(1, 4))])
+        if tag == "table":
+            columns = rng.integers(1, 4)
+            return (tag, [("tr", [node("td", depth - 1) for _ in range(columns)]) for _ in range(rng.integers(1, 4))])
+        return (tag, [f" w{next(number)} " if x == "text" else node(x, depth - 1) for x in rng.choice(["text", "text", "b", "div", "p", "ul", "table", "blockquote", "hidden"], rng.integers(1, 5)) if not (tag == "p" and x not in ("text", "b"))])
+
+    def written(tree):
+        if isinstance(tree, str):
+            return tree
+        tag = "div hidden" if tree[0] == "hidden" else tree[0]
+        return f"<{tag}>" + "".join(map(written, tree[1])) + f"</{tag.split()[0]}>"
+
+    for _ in range(2_000):
+        tree = node("body", int(rng.integers(1, 5)))
+        page = "".join(map(written, tree[1]))
+        assert html_text.render(page).split("\n") == (simple_layout(tree) or [""]), page
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="<>/abpdivtrl \"'=&;!-", max_size=200))
 def test_html_never_fails(page):
@@ -324,8 +618,9 @@ def test_html_never_fails(page):
 
 
 def test_html_rows(spark):
-    pages = spark.createDataFrame([(1, "u", "<p>x"), (None, None, None), (1, "u", "<p>x")], "page_id long, url string, html string")
-    assert sorted((r.page_id or 0, r.text) for r in html_text.html_text(pages).collect()) == [(0, ""), (1, "x"), (1, "x")]
+    long = "<p>" + LONG + "<p>" + LONG
+    pages = spark.createDataFrame([(1, "u", "<p>x", "clash"), (None, None, None, None), (1, "u", "<p>x", "clash"), (2, "u", long, "")], "page_id long, url string, html string, text string")
+    assert sorted((r.page_id or 0, r.text) for r in html_text.html_text(pages).collect()) == [(0, ""), (1, "x"), (1, "x"), (2, LONG + "\n\n" + LONG)]
     assert html_text.html_text(pages.where("false")).count() == 0
 
 
@@ -352,6 +647,44 @@ def test_search_retrieves_what_full_scoring_does():
         assert got.get(t, set()) == want
 
 
+def test_search_of_a_sliced_benchmark():
+    """With the statistics of the whole benchmark, 1, 2 and 7 slices retrieve the same items, whatever the block."""
+    rng = np.random.default_rng(14)
+    vocabulary = [f"v{k}" for k in range(150)]
+    items = [(k, " ".join(rng.choice(vocabulary, rng.integers(3, 30)))) for k in range(200)] + [(300, "v1 v1 v1"), (301, None), (302, "!")]
+    texts = [[*rng.choice(vocabulary, rng.integers(0, 200)), *(items[k][1].split() if k % 2 else [])] for k in range(100)]
+    statistics = decontaminate.Statistics([decontaminate.tokens(t) for _, t in items])
+    width = max(len(decontaminate.tokens(t)) for _, t in items)
+
+    def retrieved(slices):
+        out = defaultdict(set)
+        for s in range(slices):
+            index = decontaminate.Index(items[s::slices], statistics)
+            index.width = width
+            for text, got in index.search([index.term_ids(w) for w in texts], 0.5).items():
+                out[text] |= {index.items[k][0] for k in got}
+        return out
+
+    whole = retrieved(1)
+    assert sum(map(len, whole.values())) > 50 and all(len(set(texts[t])) for t in whole)
+    assert retrieved(2) == whole and retrieved(7) == whole
+
+
+def test_index_of_a_large_benchmark():
+    """100,000 items: the index is in proportion to the postings, and every item finds itself."""
+    rng = np.random.default_rng(15)
+    picked = rng.zipf(1.3, (100_000, 12)) % 200_000
+    items = [(k, " ".join(f"t{x}" for x in row)) for k, row in enumerate(picked.tolist())]
+    index = decontaminate.Index(items)
+    postings = sum(len(set(row)) for row in picked.tolist())
+    assert len(index.item) == len(index.impact) == postings
+    assert sum(x.nbytes for x in (index.item, index.impact, index.begin, index.run, index.run_top, index.first_run, index.top)) < 48 * postings
+    some = list(range(0, 100_000, 997))
+    got = index.search([index.term_ids(items[k][1].split()) for k in some], 0.9)
+    place = {i: k for k, (i, _) in enumerate(index.items)}
+    assert all(place[k] in got[t] for t, k in enumerate(some))
+
+
 def test_leaks(spark, docs, empty):
     item = prose(50, 40)
     items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "two words"), (None, item), (5, prose(51, 30))], "item_id long, text string")
@@ -396,6 +729,40 @@ def test_token_store(spark, docs, empty, tmp_path, library):
     assert token_store.read_tokens(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_pairs_are_replaced_to_the_end():
+    """No pair is left that occurs LEAST times, with 16-bit symbols and beyond; one repeated pair takes as many rules as it takes to halve it away."""
+    data = token_store.compress(np.tile(np.array([5, 6], np.uint32), 200_000), [400_000])
+    c = token_store.Container(data)
+    assert c.n_symbols < 2 * token_store.LEAST and len(data) < 400
+    rng = np.random.default_rng(3)
+    for seq in (rng.zipf(1.2, 200_000) % 40_000, 49_000 + rng.integers(0, 300, 600_000)):
+        seq = seq.astype(np.uint32)
+        c = token_store.Container(token_store.compress(seq, [len(seq)]))
+        symbols = c.symbols(0, c.n_symbols).astype(np.uint64)
+        _, counts = np.unique(symbols[:-1] << np.uint64(32) | symbols[1:], return_counts=True)
+        assert counts.max() < token_store.LEAST and (np.concatenate(list(c.documents())) == seq).all()
+
+
+def test_starts_of_many_shards(spark, monkeypatch):
+    """Starts are the sums of all shards before, also where these are added up in several steps and joined by a shuffle."""
+    monkeypatch.setattr(token_store, "SHARDS", 7)
+    tokens = np.random.default_rng(5).integers(1, 100, 60).tolist()
+    rows = [(k // 2 * 3, k % 2, n) for k, n in enumerate(tokens)]
+    got = {r.shard: r.start for r in token_store._starts(spark.createDataFrame(rows, "shard int, number int, tokens long")).collect()}
+    assert got == {k // 2 * 3: sum(tokens[: k // 2 * 2]) for k in range(60)}
+
+
+def test_token_store_cleans_up(spark, monkeypatch, tmp_path):
+    """The query's files hold all documents as long as its rows may be read, and go with the process."""
+    monkeypatch.setattr(token_store, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(token_store, "BROADCAST_SHARDS", 0)
+    rows = sorted(token_store.op10_token_store(spark, SF).collect())
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows]).tolist()][:-1] and len({r.doc_id for r in rows}) == len(rows)
+    assert list(tmp_path.iterdir())
+    common.remove_all()
+    assert not list(tmp_path.iterdir())
+
+
 def test_digests(spark):
     got = bpe.op3_bpe(spark, SF).limit(3).collect()
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
