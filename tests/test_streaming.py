@@ -9,23 +9,27 @@ from tessera.streaming.slides import SlideAccumulator
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    """Slides of different density, a restart between them: the operators are those of one kernel over all slides."""
     pairs = [("TypeA", "TypeB")]
-    cells = simulate.smooth_cells(spark, 60, 5, slides=2).cache()
+    cells = simulate.smooth_cells(spark, 60, 5, slides=3).withColumn("x", F.when(F.col("slide_id") == "S1", F.col("x") * 3).otherwise(F.col("x"))).cache()
     project = lambda df: df.select("slide_id", "cell_type", "cell_id", F.col("features").alias("pc"))
-    for slide in ("S0", "S1"):
-        cells.where(F.col("slide_id") == slide).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    seen = SlideAccumulator([2.0], pairs, project, 1)
-    stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    seen.start(stream, str(tmp_path / "checkpoint")).awaitTermination()
-    want = {}
-    for slide in ("S0", "S1"):
-        one = cells.where(F.col("slide_id") == slide)
-        k, _, _ = kernel.gaussian_kernel(one, [2.0], pairs, least_neighbors=None)
-        want.update(cca.operators(k, project(one))[2.0])
-    assert seen.y[2.0].keys() == want.keys()
+    whole, scale, _ = kernel.gaussian_kernel(cells, [0.2], pairs, least_neighbors=None)
+    want = cca.operators(whole, project(cells))[0.2]
+
+    def run(slides):
+        for slide in slides:
+            cells.where(F.col("slide_id") == slide).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        seen = SlideAccumulator(spark, str(tmp_path / "state"), scale, [0.2], pairs, project, 1)
+        stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        seen.start(stream, str(tmp_path / "checkpoint")).awaitTermination()
+        return seen
+
+    assert set(run(["S0", "S1"]).y[0.2]) == {"S0", "S1"}
+    seen = run(["S2"])  # after a restart the first two are known from the state
+    assert seen.y[0.2].keys() == want.keys() == {"S0", "S1", "S2"}
     for slide in want:
-        assert np.abs(seen.y[2.0][slide]["TypeA", "TypeB"] - want[slide]["TypeA", "TypeB"]).max() < 1e-8
-    assert seen.weights()[2.0]["TypeA"].shape == (5, 1)
+        assert np.abs(seen.y[0.2][slide]["TypeA", "TypeB"] - want[slide]["TypeA", "TypeB"]).max() < 1e-8
+    assert seen.weights()[0.2]["TypeA"].shape == (5, 1)
 
 
 def test_sources(spark, tmp_path):
