@@ -27,29 +27,40 @@ Pair = tuple[str, str]
 def operators(kernel: DataFrame, scores: DataFrame) -> dict[float, dict[str, dict[Pair, np.ndarray]]]:
     """Y of every sigma, slide and pair of types: sum over triplets of k x_i x_j'.
 
-    scores: slide_id, cell_type, cell_id, pc. Each task adds up its triplets' outer products by dense
-    products of batches; the partial matrices are added on the executors, one matrix for each key
-    reaches the driver.
+    scores: slide_id, cell_type, cell_id, pc; a cell is found by its slide and id, and triplets of cells
+    without scores count for nothing. Each task adds up its triplets' outer products by dense products of
+    batches; the partial matrices are added row by row on the executors, one matrix for each key reaches
+    the driver.
     """
     width = scores.select(F.size("pc").alias("w")).first().w
     columns = [*KEYS, "x", "y", "k"]
     if scores.count() * width * 8 <= BROADCAST_BYTES:
-        table = scores.select("cell_id", "pc").toArrow()
-        ids, x = np.array(table["cell_id"].to_pylist()), matrix(table["pc"])
-        order = np.argsort(ids, kind="stable")
-        sent = scores.sparkSession.sparkContext.broadcast((ids[order], x[order]))
+        table = scores.select("slide_id", "cell_id", "pc").toArrow()
+        slides, ids, x = np.array(table["slide_id"].to_pylist()), np.array(table["cell_id"].to_pylist()), matrix(table["pc"])
+        of_slide = {}
+        for s in sorted(set(slides.tolist())):
+            at = np.flatnonzero(slides == s)
+            at = at[np.argsort(ids[at], kind="stable")]
+            of_slide[s] = ids[at], x[at]
+        sent = scores.sparkSession.sparkContext.broadcast(of_slide)
         source = kernel.select(*KEYS, F.col("i").alias("x"), F.col("j").alias("y"), "k")
 
-        def rows(batch: pa.RecordBatch, name: str) -> np.ndarray:
-            known, x = sent.value
-            return x[np.searchsorted(known, np.array(batch.column(name).to_pylist()))]
+        def sides(batch: pa.RecordBatch, slide: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            known, x = sent.value.get(slide, (np.empty(0), np.empty((0, width))))
+            found, ok = [], np.ones(len(at), bool)
+            for name in "xy":
+                ids = np.array(batch.column(name).take(pa.array(at)).to_pylist())
+                place = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
+                ok &= known[place] == ids if len(known) else False
+                found.append(place)
+            return x[found[0][ok]], x[found[1][ok]], at[ok]
     else:
         one = scores.select("slide_id", F.col("cell_id").alias("i"), F.col("pc").alias("x"))
         two = scores.select("slide_id", F.col("cell_id").alias("j"), F.col("pc").alias("y"))
         source = kernel.join(one, ["slide_id", "i"]).join(two, ["slide_id", "j"]).select(*columns)
 
-        def rows(batch: pa.RecordBatch, name: str) -> np.ndarray:
-            return matrix(batch.column(name))
+        def sides(batch: pa.RecordBatch, slide: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return matrix(batch.column("x").take(pa.array(at))), matrix(batch.column("y").take(pa.array(at))), at
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
@@ -59,20 +70,21 @@ def operators(kernel: DataFrame, scores: DataFrame) -> dict[float, dict[str, dic
             keys = list(zip(*(batch.column(c).to_pylist() for c in KEYS)))
             number = {k: n for n, k in enumerate(dict.fromkeys(keys))}
             of = np.array([number[k] for k in keys])
-            x, y = rows(batch, "x"), rows(batch, "y") * batch.column("k").to_numpy().astype(float)[:, None]
+            k = batch.column("k").to_numpy().astype(float)
             for key, n in number.items():
-                got = x[of == n].T @ y[of == n]
+                x, y, at = sides(batch, key[1], np.flatnonzero(of == n))
+                got = x.T @ (y * k[at, None])
                 sums[key] = sums[key] + got if key in sums else got
-        if sums:
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[c] for k in sums], pa.float64() if c == 0 else pa.string()) for c in range(len(KEYS))), pa.array([m.ravel() for m in sums.values()], pa.list_(pa.float64()))], names=[*KEYS, "m"])
+        for key, m in sums.items():  # by row, so that no task gets all partial matrices of a key
+            yield pa.RecordBatch.from_arrays([*(pa.array([key[c]] * width, pa.float64() if c == 0 else pa.string()) for c in range(len(KEYS))), pa.array(range(width), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], names=[*KEYS, "row", "m"])
 
     def total(table: pa.Table) -> pa.Table:
-        return pa.table({**{c: table[c][:1] for c in KEYS}, "m": pa.array([matrix(table["m"]).sum(axis=0)], pa.list_(pa.float64()))})
+        return pa.table({**{c: table[c][:1] for c in [*KEYS, "row"]}, "m": pa.array([matrix(table["m"]).sum(axis=0)], pa.list_(pa.float64()))})
 
-    schema = "sigma double, slide_id string, ct1 string, ct2 string, m array<double>"
+    schema = "sigma double, slide_id string, ct1 string, ct2 string, row int, m array<double>"
     out: dict[float, dict[str, dict[Pair, np.ndarray]]] = {}
-    for r in source.mapInArrow(partial, schema).groupBy(*KEYS).applyInArrow(total, schema).collect():
-        out.setdefault(r.sigma, {}).setdefault(r.slide_id, {})[r.ct1, r.ct2] = np.array(r.m).reshape(width, -1)
+    for r in source.mapInArrow(partial, schema).groupBy(*KEYS, "row").applyInArrow(total, schema).collect():
+        out.setdefault(r.sigma, {}).setdefault(r.slide_id, {}).setdefault((r.ct1, r.ct2), np.zeros((width, width)))[r.row] = r.m
     return out
 
 
