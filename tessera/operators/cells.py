@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.material import materialized
+from tessera.functions.quantiles import exact_quantile
+
 COORDINATES = ("x", "y", "z")
 
 
@@ -118,20 +121,38 @@ def type_pairs(cells: DataFrame, types: list[str] | None = None) -> list[tuple[s
 
 
 def partition_slides(cells: DataFrame, max_cells: int = 50_000) -> DataFrame:
-    """Cells with slides of at most about max_cells: a larger one is cut along its wider side into parts of equal numbers, named slide_blkN.
+    """Cells with slides of at most max_cells: a larger one is cut in two again and again, and its parts are named slide_blkN.
 
-    Quantiles of the standardised coordinates give the cuts: columns first, then rows within a column.
+    Each part with too many cells is cut at the median of the coordinate that varies most within it, so
+    that parts are compact in two or three dimensions and every cut halves them. Cells with one place
+    in common are dealt by a hash of their ids. A slide with few enough cells keeps its name.
     """
-    sizes = cells.groupBy("slide_id").agg(F.count("*").alias("_n"), F.stddev_samp("x").alias("_sx"), F.stddev_samp("y").alias("_sy"))
-    parts = sizes.where(F.col("_n") > max_cells).select("slide_id", F.ceil(F.col("_n") / max_cells).alias("_parts"), (F.col("_sx") >= F.col("_sy")).alias("_wide"))
-    both = cells.join(F.broadcast(parts), "slide_id", "left")
-    along = F.when(F.col("_wide"), F.col("x")).otherwise(F.col("y"))
-    cuts = both.where("_parts is not null").groupBy("slide_id").agg(F.percentile_approx(along, [k / 1000 for k in range(1, 1000)], 10_000).alias("_cuts"))
-    both = both.join(F.broadcast(cuts), "slide_id", "left")
-    rank = F.size(F.filter("_cuts", lambda c: c <= along))
-    block = F.least(F.floor(rank * F.col("_parts") / 1000), F.col("_parts") - 1) + 1
-    new = F.when(F.col("_parts").isNotNull(), F.concat_ws("_blk", "slide_id", block.cast("int").cast("string"))).otherwise(F.col("slide_id"))
-    return both.withColumn("slide_id", new).drop("_parts", "_wide", "_cuts")
+    dims = coordinates(cells)
+    at = cells.select("slide_id", "cell_id", *dims, F.lit("").alias("_part"), F.lit(False).alias("_done"))
+    keys = ["slide_id", "_part"]
+    while True:
+        sizes = at.where("not _done").groupBy(*keys).agg(F.count("*").alias("_n"), *[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"_s{c}") for c in dims])
+        large = materialized(sizes.where(F.col("_n") > max_cells))
+        if large.isEmpty():
+            break
+        widest = F.greatest(*[F.col(f"_s{c}") for c in dims])
+        both = at.join(F.broadcast(large), keys, "left")
+        along = F.lit(None).cast("double")
+        for c in reversed(dims):
+            along = F.when((F.col(f"_s{c}") == widest) & (widest > 0), F.col(c)).otherwise(along)
+        both = both.withColumn("_along", F.when(F.col("_n").isNotNull(), F.coalesce(along, F.xxhash64("cell_id", F.length("_part")).cast("double"))))
+        middle = exact_quantile(both.where("_along is not null"), keys, "_along", 0.5, name="_middle")
+        side = F.when(F.col("_along") <= F.col("_middle"), "0").otherwise("1")
+        # a cut that leaves one side empty, as most cells share a coordinate, is followed by one along a hash
+        both = both.join(F.broadcast(middle), keys, "left").withColumn("_side", F.when(F.col("_along").isNotNull(), side))
+        halves = both.where("_side is not null").groupBy(*keys).agg(F.count_distinct("_side").alias("_sides"))
+        both = both.join(F.broadcast(halves), keys, "left")
+        dealt = F.when(F.col("_sides") == 1, F.pmod(F.xxhash64("cell_id", F.length("_part")), F.lit(2)).cast("string")).otherwise(F.col("_side"))
+        at = materialized(both.select("slide_id", "cell_id", *dims, F.concat("_part", F.coalesce(dealt, F.lit(""))).alias("_part"), F.col("_n").isNull().alias("_done")))
+    names = at.select(*keys).distinct().withColumn("_number", F.row_number().over(Window.partitionBy("slide_id").orderBy("_part")))
+    new = F.when(F.col("_part") == "", F.col("slide_id")).otherwise(F.concat_ws("_blk", "slide_id", F.col("_number").cast("string")))
+    named = at.select("slide_id", "cell_id", "_part").join(F.broadcast(names), keys).select("slide_id", "cell_id", new.alias("_new"))
+    return cells.join(named, ["slide_id", "cell_id"]).withColumn("slide_id", F.col("_new")).select(*cells.columns)
 
 
 def outliers(df: DataFrame, value: str, keys: list[str], threshold: float, method: str = "zscore") -> DataFrame:
@@ -140,7 +161,7 @@ def outliers(df: DataFrame, value: str, keys: list[str], threshold: float, metho
         stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
         out = F.abs(F.col(value) - F.col("_m")) > threshold * F.col("_s")
     elif method == "iqr":
-        stats = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.25)).alias("_m"), F.percentile(value, F.lit(0.75)).alias("_s"))
+        stats = exact_quantile(df, keys, value, 0.25, name="_m").join(exact_quantile(df, keys, value, 0.75, name="_s"), keys)
         out = (F.col(value) < F.col("_m") - threshold * (F.col("_s") - F.col("_m"))) | (F.col(value) > F.col("_s") + threshold * (F.col("_s") - F.col("_m")))
     else:
         raise ValueError("method is zscore or iqr")
