@@ -63,12 +63,12 @@ def low_percentiles(cells: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame
     radius = min(widest, 1.5 * widest * share ** (1 / len(dims)))
     need = {(r.slide_id, r.ct1, r.ct2): min(math.floor((r.n_pairs - 1) * r.p) + 2, r.n_pairs) for r in rows}
     while True:
-        near = block_pairs(cells, pairs, radius)
+        near = materialized(block_pairs(cells, pairs, radius))
         counts = {(r.slide_id, r.ct1, r.ct2): (r.n, r.least) for r in near.groupBy(*BLOCK).agg(F.count("*").alias("n"), F.max("d").alias("least")).collect()}
         if radius >= widest or all(counts.get(b, (0, 0))[0] >= n and counts.get(b, (0, 0))[1] > 0 for b, n in need.items()):
             break
         radius = min(widest * 1.000001, radius * 2)
-    near = materialized(near.join(F.broadcast(of.select(*BLOCK, "n_pairs", "p")), BLOCK))
+    near = near.join(F.broadcast(of.select(*BLOCK, "n_pairs", "p")), BLOCK)
     least = near.where("d > 0").groupBy(*BLOCK).agg(F.min("d").alias("d_min"))
     near = near.join(F.broadcast(least), BLOCK).withColumn("d", F.greatest("d", "d_min"))
     low = exact_quantile(near, [*BLOCK, "n_pairs", "p", "d_min"], "d", F.col("p"), F.col("n_pairs"), "low")

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.material import materialized
+from tessera.functions.quantiles import exact_quantile
 from tessera.operators.cca import Pair, operators
 from tessera.operators.resample import generator
 
@@ -15,6 +17,18 @@ LEAST_CELLS = 10
 MOST_GENES = 2_000
 
 
+def prevalence(long: DataFrame, clip: float | None = 0.98, least_prevalence: float = 0.008, least_cells: int = 20) -> DataFrame:
+    """(gene, share, cells, top) of the genes above 0 in enough of all cells; top: the clip quantile of a gene's positive values. long: gene, v."""
+    of = long.groupBy("gene").agg(F.avg((F.col("v") > 0).cast("double")).alias("share"), F.sum((F.col("v") > 0).cast("long")).alias("cells"))
+    top = exact_quantile(long.where("v > 0"), ["gene"], "v", clip if clip is not None else 1.0, name="top")
+    return of.where((F.col("share") >= least_prevalence) & (F.col("cells") >= least_cells)).join(top, "gene")
+
+
+def clipped(long: DataFrame, kept: DataFrame) -> DataFrame:
+    """The values of the genes in kept, those above a gene's top become it."""
+    return long.join(F.broadcast(kept), "gene").withColumn("v", F.least("v", "top"))
+
+
 def prepare_genes(cells: DataFrame, clip: float | None = 0.98, least_prevalence: float = 0.008, least_cells: int = 20) -> tuple[DataFrame, list[int]]:
     """Cells with features of the genes in use, clipped and standardised within slide and type; and those genes.
 
@@ -26,13 +40,11 @@ def prepare_genes(cells: DataFrame, clip: float | None = 0.98, least_prevalence:
     good = sizes.where(F.col("n") >= LEAST_CELLS).groupBy("slide_id").agg(F.count("*").alias("t")).where(F.col("t") == types).select("slide_id")
     used = cells.join(F.broadcast(good), "slide_id", "left_semi")
     long = used.select("slide_id", "cell_type", "cell_id", F.posexplode("features").alias("gene", "v"))
-    prevalence = long.groupBy("gene").agg(F.avg((F.col("v") > 0).cast("double")).alias("share"), F.sum((F.col("v") > 0).cast("long")).alias("cells"), F.percentile(F.when(F.col("v") > 0, F.col("v")), F.lit(clip if clip is not None else 1.0)).alias("top"))
-    kept = prevalence.where((F.col("share") >= least_prevalence) & (F.col("cells") >= least_cells))
+    kept = materialized(prevalence(long, clip, least_prevalence, least_cells))
     genes = [r.gene for r in kept.select("gene").orderBy("gene").collect()]  # a row for each gene
-    value = F.least("v", "top") if clip is not None else F.col("v")
-    clipped = long.join(F.broadcast(kept), "gene").withColumn("v", value)
-    stats = clipped.groupBy("slide_id", "cell_type", "gene").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
-    z = clipped.join(F.broadcast(stats), ["slide_id", "cell_type", "gene"]).withColumn("z", F.when(F.col("s") > 0, (F.col("v") - F.col("m")) / F.col("s")).otherwise(0.0))
+    used_values = clipped(long, kept)
+    stats = used_values.groupBy("slide_id", "cell_type", "gene").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
+    z = used_values.join(F.broadcast(stats), ["slide_id", "cell_type", "gene"]).withColumn("z", F.when(F.col("s") > 0, (F.col("v") - F.col("m")) / F.col("s")).otherwise(0.0))
     rows = z.groupBy("slide_id", "cell_type", "cell_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("gene", "z"))), lambda x: x["z"]).alias("features"))
     return rows.join(cells.drop("features", "cell_type"), ["slide_id", "cell_id"]), genes
 

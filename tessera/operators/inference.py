@@ -61,6 +61,8 @@ class Problem:
 
     def __init__(self, scores: DataFrame, cells: DataFrame, kernel: DataFrame, norms: DataFrame, pair: Pair):
         """kernel and norms: triplets and (sigma, ct1, ct2, norm) of the pair. A slide's triplets have to fit into a task; their number is checked."""
+        if len(found := [r.slide_id for r in kernel.select("slide_id").distinct().limit(2).collect()]) > 1:
+            raise ValueError(f"permutations take one slide, not {', '.join(found)} and others: take replicates for several")
         self.pair = pair
         self.x, self.places, self.ids = {}, {}, {}
         for t in dict.fromkeys(pair):

@@ -78,7 +78,7 @@ def match_by_quantile(original: np.ndarray, candidates: np.ndarray, n: int) -> n
 
 
 def _resampled(x: np.ndarray, y: np.ndarray, nx: int, ny: int, rng: np.random.Generator, match: bool) -> np.ndarray:
-    """Source positions: bins are shuffled among the occupied ones; a bin takes cells of its target bin, then of the bins around it, then again."""
+    """Source positions: bins are shuffled among the occupied ones; a bin takes cells of its target bin, of the bins around it until there are enough, then again."""
     def bins(v: np.ndarray, n: int) -> np.ndarray:
         span = v.max() - v.min()
         return np.clip(np.ceil((v - v.min()) / span * n), 1, n).astype(int) if span > 0 else np.ones(len(v), int)
@@ -92,9 +92,11 @@ def _resampled(x: np.ndarray, y: np.ndarray, nx: int, ny: int, rng: np.random.Ge
     out = np.empty(len(x), int)
     for key, target in zip(keys, targets):
         own, pool = members[key], members[target]
-        if len(pool) < len(own):
-            around = [members[i, j] for i in range(target[0] - 1, target[0] + 2) for j in range(target[1] - 1, target[1] + 2) if (i, j) in members and (i, j) != target]
-            pool = np.concatenate([pool, *around])
+        for near in ((i, j) for i in range(target[0] - 1, target[0] + 2) for j in range(target[1] - 1, target[1] + 2)):
+            if len(pool) >= len(own):
+                break
+            if near in members and near != target:
+                pool = np.concatenate([pool, members[near]])
         if match:
             out[own] = pool[match_by_quantile(np.stack([x[own], y[own]], axis=1), np.stack([x[pool], y[pool]], axis=1), len(own))]
         else:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.quantiles import exact_quantile
+
 
 def long_expression(cells: DataFrame) -> DataFrame:
     """(slide_id, cell_type, cell_id, gene, value); gene is the position in features."""
@@ -24,7 +26,7 @@ def regression_gene_scores(cells: DataFrame, scores: DataFrame) -> DataFrame:
 def cell_scores_in_place(cells: DataFrame, scores: DataFrame, cc: int = 1) -> DataFrame:
     """Cells with their score and a label high_TYPE or low_TYPE by the type's median over all slides, unknown_TYPE without a score."""
     one = scores.where(F.col("cc") == cc).select("sigma", "slide_id", "cell_id", "score")
-    middle = one.join(cells.select("slide_id", "cell_id", "cell_type"), ["slide_id", "cell_id"]).groupBy("sigma", "cell_type").agg(F.median("score").alias("_m"))
+    middle = exact_quantile(one.join(cells.select("slide_id", "cell_id", "cell_type"), ["slide_id", "cell_id"]), ["sigma", "cell_type"], "score", 0.5, name="_m")
     both = cells.drop("features").join(one, ["slide_id", "cell_id"], "left").join(F.broadcast(middle), ["sigma", "cell_type"], "left")
     label = F.when(F.col("score").isNull(), "unknown_").when(F.col("score") > F.col("_m"), "high_").otherwise("low_")
     return both.withColumn("score_label", F.concat(label, "cell_type")).drop("_m")
