@@ -124,11 +124,12 @@ def filtered(kernel: DataFrame, row_cutoff: float, col_cutoff: float, together:
     return kept.join(cols, [*KEYS, "j"], "left_semi")
 
 
-def bidirectional_correlation(kernel: DataFrame, scores: DataFrame, normalize: str = "row_or_col", row_cutoff: float | None = 5e-2, col_cutoff: float = 5e-2, together: bool = False) -> DataFrame:
+def bidirectional_correlation(kernel: DataFrame, scores: DataFrame, normalize: str = "row_or_col", row_cutoff: float | None = 5e-2, col_cutoff: float = 5e-2, together: bool = False, no_variation: float | None = None) -> DataFrame:
     """(sigma, slide_id, ct1, ct2, cc, bidir): mean of cor(K' a, b) and cor(a, K b), K's rows or columns of sum 1, or scaled by Sinkhorn and Knopp, or as they are ('none').
 
     Rows and columns with small sums are left out first (row_cutoff None: none; their cells then count
-    with a sum of 0).
+    with a sum of 0). Where scores or sums don't vary a correlation is no_variation: null, so that such
+    slides don't enter means, or a number.
     """
     k = kernel if row_cutoff is None else materialized(filtered(kernel, row_cutoff, col_cutoff, together))
     if normalize == "sinkhorn_knopp":
@@ -150,16 +151,16 @@ def bidirectional_correlation(kernel: DataFrame, scores: DataFrame, normalize: s
     else:
         one = ka.join(b, ["sigma", "slide_id", "ct2", "j", "cc"]).select(*KEYS, "cc", F.col("ka").alias("p"), F.col("b").alias("q"))
         two = kb.join(a, ["sigma", "slide_id", "ct1", "i", "cc"]).select(*KEYS, "cc", F.col("kb").alias("p"), F.col("a").alias("q"))
-    # a single cell correlates as 1; without variation the correlation is 0
+    # a single cell correlates as 1
     spread = F.stddev_pop("p") * F.stddev_pop("q")
-    cor = F.when(F.count("*") < 2, 1.0).when(spread < 1e-12, 0.0).otherwise(F.covar_pop("p", "q") / spread)
+    cor = F.when(F.count("*") < 2, 1.0).when(spread < 1e-12, F.lit(no_variation).cast("double")).otherwise(F.covar_pop("p", "q") / spread)
     both = one.groupBy(*KEYS, "cc").agg(cor.alias("c1")).join(two.groupBy(*KEYS, "cc").agg(cor.alias("c2")), [*KEYS, "cc"])
     return both.select(*KEYS, "cc", ((F.col("c1") + F.col("c2")) / 2).alias("bidir"))
 
 
-def self_bidirectional_correlation(self_kernel: DataFrame, scores: DataFrame, normalize: str = "row_or_col", cutoff: float = 5e-3) -> DataFrame:
+def self_bidirectional_correlation(self_kernel: DataFrame, scores: DataFrame, normalize: str = "row_or_col", cutoff: float = 5e-3, no_variation: float | None = None) -> DataFrame:
     """The same within types; rows and columns are filtered together."""
-    return bidirectional_correlation(self_kernel, scores, normalize, cutoff, cutoff, together=True)
+    return bidirectional_correlation(self_kernel, scores, normalize, cutoff, cutoff, together=True, no_variation=no_variation)
 
 
 def mean_over_slides(correlations: DataFrame, value: str) -> DataFrame:
@@ -178,9 +179,11 @@ def smoothed_scores(kernel: DataFrame, scores: DataFrame, cc: int = 1) -> DataFr
 
 
 def neighbor_average(kernel: DataFrame, scores: DataFrame) -> DataFrame:
-    """(sigma, slide_id, ct1, ct2, i, cc, smooth): mean of the neighbours' scores by kernel weight."""
+    """(sigma, slide_id, ct1, ct2, i, cc, smooth): mean of the neighbours' scores by kernel weight, 0 for a cell without neighbours."""
     b = scores.select("sigma", "slide_id", F.col("cell_type").alias("ct2"), F.col("cell_id").alias("j"), "cc", "score")
-    return kernel.join(b, ["sigma", "slide_id", "ct2", "j"]).groupBy(*KEYS, "i", "cc").agg((F.sum(F.col("k") * F.col("score")) / F.sum("k")).alias("smooth"))
+    mean = kernel.join(b, ["sigma", "slide_id", "ct2", "j"]).groupBy(*KEYS, "i", "cc").agg((F.sum(F.col("k") * F.col("score")) / F.sum("k")).alias("smooth"))
+    cells = scores.select("sigma", "slide_id", F.col("cell_type").alias("ct1"), F.col("cell_id").alias("i"), "cc").join(F.broadcast(kernel.select(*KEYS).distinct()), ["sigma", "slide_id", "ct1"])
+    return cells.join(mean, [*KEYS, "i", "cc"], "left").select(*KEYS, "i", "cc", F.coalesce("smooth", F.lit(0.0)).alias("smooth"))
 
 
 def long_form(correlations: DataFrame) -> DataFrame:

@@ -113,16 +113,26 @@ def transposed(kernel: DataFrame) -> DataFrame:
     return kernel.select("sigma", "slide_id", F.col("ct2").alias("ct1"), F.col("ct1").alias("ct2"), F.col("j").alias("i"), F.col("i").alias("j"), "k")
 
 
-def lookup(kernel: DataFrame, sigma: float, ct1: str, ct2: str, slide: str | None = None) -> DataFrame:
-    """The triplets of one pair of types, of the reversed pair where only that is there."""
-    of = kernel.where((F.col("sigma") == sigma) & ((F.col("slide_id") == slide) if slide else F.lit(True)))
+def lookup(triplets: DataFrame, sigma: float | None, ct1: str, ct2: str, slide: str | None = None) -> DataFrame:
+    """The triplets of one pair of types, of the reversed pair where only that is there; those of distances (with d, without sigma) where sigma is None."""
+    of = triplets.where(((F.col("sigma") == sigma) if sigma is not None else F.lit(True)) & ((F.col("slide_id") == slide) if slide else F.lit(True)))
     forward = of.where((F.col("ct1") == ct1) & (F.col("ct2") == ct2))
     if not forward.isEmpty():
         return forward
     backward = of.where((F.col("ct1") == ct2) & (F.col("ct2") == ct1))
     if backward.isEmpty():
-        raise ValueError(f"no kernel of {ct1} and {ct2} at {sigma}")
-    return transposed(backward)
+        raise ValueError(f"no triplets of {ct1} and {ct2}" + (f" at {sigma}" if sigma is not None else ""))
+    other = {"ct1": "ct2", "ct2": "ct1", "i": "j", "j": "i"}
+    return backward.select(*[F.col(other.get(c, c)).alias(c) for c in triplets.columns])
+
+
+def default_sigma(distances: DataFrame, pair: tuple[str, str], quantile: float = 0.05) -> float:
+    """The sigma of a kernel that is given none: the low quantile of the distances over 0 of the first pair of types. distances: of distance_pairs without a reach."""
+    of = distances.where((F.col("ct1") == pair[0]) & (F.col("ct2") == pair[1]) & (F.col("d") > 0)).withColumn("_all", F.lit(1))
+    found = exact_quantile(of, ["_all"], "d", quantile).first()
+    if found is None:
+        raise ValueError(f"no distances of {pair[0]} and {pair[1]}")
+    return float(found.q)
 
 
 def multiply(kernel: DataFrame, vectors: DataFrame, value: str = "v") -> DataFrame:

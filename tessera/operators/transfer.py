@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import correlation
+from tessera.operators.kernel import centered_norm
+
 #: Values (cells times genes) of a group that are ranked by a window; each gene is a group of its own.
 LEAST_SD = 1e-8
 
@@ -44,3 +47,27 @@ def transfer_scores(reference: DataFrame, target: DataFrame, weights: DataFrame,
     z = (F.col("value") - F.col("_m")) / F.when(F.col("_s") < LEAST_SD, 1.0).otherwise(F.col("_s"))
     w = weights.where(F.abs("w") > least_weight)
     return used.join(F.broadcast(stats), "gene").join(F.broadcast(w), "gene").groupBy("cell_id", "cc").agg(F.sum(z * F.col("w")).alias("score"))
+
+
+def placed_scores(parts: dict[str, DataFrame], cells: DataFrame, sigma: float) -> DataFrame:
+    """(sigma, slide_id, cell_type, cell_id, cc, score) of transferred scores by cell type, as the correlations take them."""
+    out = None
+    for cell_type, scores in parts.items():
+        one = scores.select("cell_id", "cc", "score", F.lit(cell_type).alias("cell_type"))
+        out = one if out is None else out.unionByName(one)
+    return out.join(cells.select("cell_id", "slide_id", "cell_type"), ["cell_id", "cell_type"]).select(F.lit(float(sigma)).alias("sigma"), "slide_id", "cell_type", "cell_id", "cc", "score")
+
+
+def transferred_correlation(kernel: DataFrame, scores: DataFrame, of: DataFrame) -> DataFrame:
+    """(sigma, slide_id, ct1, ct2, cc, ncorr) of transferred scores over the target's kernel; of: blocks of it."""
+    return correlation.normalized_correlation(correlation.correlation_parts(kernel, scores, centered_norm(kernel, of)))
+
+
+def transferred_bidirectional(kernel: DataFrame, scores: DataFrame, normalize: str = "row_or_col", row_cutoff: float | None = 5e-3, col_cutoff: float = 5e-3) -> DataFrame:
+    """(sigma, slide_id, ct1, ct2, cc, bidir) of transferred scores between types; correlation.mean_over_slides aggregates it."""
+    return correlation.bidirectional_correlation(kernel, scores, normalize, row_cutoff, col_cutoff)
+
+
+def transferred_self_bidirectional(self_kernel: DataFrame, scores: DataFrame, normalize: str = "row_or_col", cutoff: float = 5e-3) -> DataFrame:
+    """The same within types."""
+    return correlation.self_bidirectional_correlation(self_kernel, scores, normalize, cutoff)

@@ -95,11 +95,17 @@ def _whitened(spark, d):
 
 
 def _parts(spark, d):
-    return correlation.correlation_parts(_kernel(spark, d), _given_scores(spark, d), _norms(spark, d))
+    k = _kernel(spark, d)
+    return correlation.correlation_parts(k, _given_scores(spark, d), kernel.centered_norm(k, _blocks(spark, d)))
 
 
 def _bidir(normalize: str, row_cutoff: float | None = 5e-2):
-    return lambda spark, d: _rounded(correlation.bidirectional_correlation(_kernel(spark, d), _given_scores(spark, d), normalize, row_cutoff), 6, "bidir")
+    """A slide without variation counts as 0 here, as the query's SQL has it."""
+    return lambda spark, d: _rounded(correlation.bidirectional_correlation(_kernel(spark, d), _given_scores(spark, d), normalize, row_cutoff, no_variation=0.0), 6, "bidir")
+
+
+def _bidir_mean(no_variation: float | None):
+    return lambda spark, d: _rounded(correlation.mean_over_slides(correlation.bidirectional_correlation(_kernel(spark, d), _given_scores(spark, d), no_variation=no_variation), "bidir"), 6, "bidir")
 
 
 def _sinkhorn(spark, d):
@@ -130,15 +136,14 @@ def _moments(spark, d):
 
 
 def _prevalence(spark, d):
-    long = score_ops.long_expression(_cells(spark, d))
-    share = long.groupBy("gene").agg(F.avg((F.col("value") > 0).cast("double")).alias("share"), F.sum((F.col("value") > 0).cast("long")).alias("n_cells"), F.percentile(F.when(F.col("value") > 0, F.col("value")), F.lit(0.98)).alias("top"))
-    return _rounded(share.where("share >= 0.008 and n_cells >= 20"), 6, "share", "top")
+    long = score_ops.long_expression(_cells(spark, d)).withColumnRenamed("value", "v")
+    return _rounded(gene_space.prevalence(long).withColumnRenamed("cells", "n_cells"), 6, "share", "top")
 
 
 def _clipped(spark, d):
-    long = score_ops.long_expression(_cells(spark, d))
-    top = long.where("value > 0").groupBy("gene").agg(F.percentile("value", F.lit(0.98)).alias("top"))
-    return _rounded(long.join(F.broadcast(top), "gene").groupBy("gene").agg(F.sum(F.least("value", "top")).alias("total"), F.sum((F.col("value") > F.col("top")).cast("long")).alias("n_clipped")), 4, "total")
+    long = score_ops.long_expression(_cells(spark, d)).select("gene", F.col("value").alias("v"), F.col("value").alias("raw"))
+    got = gene_space.clipped(long, gene_space.prevalence(long, least_prevalence=0.0, least_cells=1))
+    return _rounded(got.groupBy("gene").agg(F.sum("v").alias("total"), F.sum((F.col("raw") > F.col("v")).cast("long")).alias("n_clipped")), 4, "total")
 
 
 def _long_of(spark, d, t):
@@ -154,15 +159,50 @@ def _transfer(spark, d):
     return _rounded(transfer.transfer_scores(_long_of(spark, d, "T0"), _long_of(spark, d, "T1"), _all_weights(spark, d), least_weight=0.05), 6, "score")
 
 
+def _carried(spark, d):
+    """Scores carried from one type to both types of the cells."""
+    parts = {t: transfer.transfer_scores(_long_of(spark, d, "T0"), _long_of(spark, d, t), _all_weights(spark, d), normalize=False) for t in ("T0", "T1")}
+    return transfer.placed_scores(parts, _cells(spark, d), 0.05)
+
+
 def _transfer_correlation(spark, d):
-    """Scores carried from one type to both types of the cells, correlated over the kernel."""
-    parts = None
-    for t in ("T0", "T1"):
-        one = transfer.transfer_scores(_long_of(spark, d, "T0"), _long_of(spark, d, t), _all_weights(spark, d), normalize=False).withColumn("cell_type", F.lit(t))
-        parts = one if parts is None else parts.union(one)
-    s = parts.join(_cells(spark, d).select("cell_id", "slide_id"), "cell_id").select(F.lit(0.05).alias("sigma"), "slide_id", "cell_type", "cell_id", "cc", "score")
-    k = _kernel(spark, d, sigmas=[0.05])
-    return _rounded(correlation.normalized_correlation(correlation.correlation_parts(k, s, kernel.centered_norm(k, _blocks(spark, d)))), 6, "ncorr")
+    return _rounded(transfer.transferred_correlation(_kernel(spark, d, sigmas=[0.05]), _carried(spark, d), _blocks(spark, d)), 6, "ncorr")
+
+
+def _transfer_bidirectional(spark, d):
+    return _rounded(transfer.transferred_bidirectional(_kernel(spark, d, sigmas=[0.05]), _carried(spark, d)), 6, "bidir")
+
+
+def _transfer_self_bidirectional(spark, d):
+    return _rounded(transfer.transferred_self_bidirectional(_kernel(spark, d, OWN, [0.05]), _carried(spark, d)), 6, "bidir")
+
+
+def _one_type(spark, d):
+    return _rounded(correlation.smoothed_scores(_kernel(spark, d, OWN), _given_scores(spark, d)), 6, "ak", "b")
+
+
+def _default_sigma(spark, d):
+    return _rounded(spark.createDataFrame([(kernel.default_sigma(distance.distance_pairs(_cells(spark, d), PAIR, None)[0], PAIR[0]),)], "sigma double"), 6, "sigma")
+
+
+def _kernel_operator(spark, d):
+    """X1' K X2 of the first four features, entry by entry."""
+    scores = _cells(spark, d).select("slide_id", "cell_type", "cell_id", F.slice("features", 1, 4).alias("pc"))
+    found = cca.operators(_kernel(spark, d), scores)
+    rows = [(float(s), slide, *pair, r + 1, c + 1, float(m[r, c])) for s, slides in found.items() for slide, of in slides.items() for pair, m in of.items() for r in range(4) for c in range(4)]
+    return _rounded(spark.createDataFrame(rows, "sigma double, slide_id string, ct1 string, ct2 string, r int, c int, value double"), 5, "value")
+
+
+def _kept_by_draws(method: str):
+    """For each draw, slide and type: cells, those whose source is of the same slide and type, and different sources."""
+    def run(spark, d):
+        source = _cells(spark, d).select(F.col("cell_id").alias("source_id"), F.col("slide_id").alias("s"), F.col("cell_type").alias("t"))
+        drawn = _resampled(method)(spark, d).join(source, "source_id")
+        same = ((F.col("s") == F.col("slide_id")) & (F.col("t") == F.col("cell_type"))).cast("long")
+        got = drawn.groupBy("perm_id", "slide_id", "cell_type").agg(F.count("*").alias("n"), F.sum(same).alias("n_same"), F.count_distinct("source_id").alias("n_sources"))
+        return got if method == "toroidal" else got.drop("n_sources")
+
+    return run
 
 
 def _knn(spark, d):
@@ -360,11 +400,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bidir_corr_row_or_col": _bidir("row_or_col"),
         "bidir_corr_none": _bidir("none"),
         "bidir_corr_unfiltered": _bidir("row_or_col", None),
-        "bidir_corr_aggregate": lambda s, d: _rounded(correlation.mean_over_slides(correlation.bidirectional_correlation(_kernel(s, d), _given_scores(s, d)), "bidir"), 6, "bidir"),
-        "self_bidir_corr": lambda s, d: _rounded(correlation.self_bidirectional_correlation(_kernel(s, d, OWN), _given_scores(s, d)), 6, "bidir"),
+        "bidir_corr_aggregate": _bidir_mean(0.0),
+        "bidir_corr_aggregate_finite": _bidir_mean(None),
+        "self_bidir_corr": lambda s, d: _rounded(correlation.self_bidirectional_correlation(_kernel(s, d, OWN), _given_scores(s, d), no_variation=0.0), 6, "bidir"),
         "sinkhorn_kernel": _sinkhorn,
         "corr_two_types": _smoothed,
+        "corr_one_type": _one_type,
         "kernel_smoothed_scores": _neighbor_average,
+        "kernel_operator": _kernel_operator,
+        "default_sigma": _default_sigma,
         "insitu_median_split": _in_place,
         "regression_gene_scores": _regression,
         "gene_zscore_guarded": _moments,
@@ -373,6 +417,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "quantile_normalize": lambda s, d: _rounded(transfer.quantile_normalize(_long_of(s, d, "T0"), _long_of(s, d, "T1")), 6, "value"),
         "transfer_scores": _transfer,
         "transfer_norm_corr": _transfer_correlation,
+        "transfer_bidir_corr": _transfer_bidirectional,
+        "transfer_self_bidir_corr": _transfer_self_bidirectional,
         "knn": _knn,
         "knn_graph": lambda s, d: neighbors.knn_graph(_cells(s, d), 10),
         "graph_hops": _hops,
@@ -398,6 +444,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gene_space_cca": _gene_space,
         "resample_bins": _resampled("bin"),
         "resample_toroidal": _resampled("toroidal"),
+        "resample_bins_kept": _kept_by_draws("bin"),
+        "resample_toroidal_kept": _kept_by_draws("toroidal"),
         "permutation_fair_sigma": _permutations,
         "permutation_conditional": _conditional,
         "replicate_inference": _replicates,

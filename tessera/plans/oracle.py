@@ -81,9 +81,9 @@ def _normalized(side: str) -> str:
 {_SUMS.format("(select * from nk where k >= 1e-7)")}"""
 
 
-def _bidir(normalize: bool, filtered: bool = True, within: bool = False, mean: bool = False) -> str:
-    """Both correlations over cells that have neighbours in the filtered kernel, or over all cells."""
-    cut = 5e-3 if within else 5e-2
+def _bidir(normalize: bool, filtered: bool = True, within: bool = False, mean: bool = False, start: str | None = None, cut: float | None = None, no_variation: str = "0") -> str:
+    """Both correlations over cells that have neighbours in the filtered kernel, or over all cells. start: another beginning, up to the table scores."""
+    cut = cut or (5e-3 if within else 5e-2)
     if filtered and within:
         keep = f"""f as (
   select k.* from k
@@ -106,7 +106,7 @@ def _bidir(normalize: bool, filtered: bool = True, within: bool = False, mean: b
     blocks = "blocks as (select distinct sigma, slide_id, ct1, ct2 from k)"
     how = "join" if filtered else "left join"
     rounded = "avg(bidir)" if mean else "bidir"
-    return _kernel(within) + f""", {SCORES}, {blocks}, {keep}, w as (
+    return (start or f"{_kernel(within)}, {SCORES}") + f""", {blocks}, {keep}, w as (
   select f.sigma, f.slide_id, f.ct1, f.ct2, f.i, f.j, {by_row} as kr, {by_col} as kc
   from f join (select sigma, slide_id, ct1, ct2, i, sum(k) as s from f group by all) r using (sigma, slide_id, ct1, ct2, i)
   join (select sigma, slide_id, ct1, ct2, j, sum(k) as s from f group by all) c using (sigma, slide_id, ct1, ct2, j)
@@ -115,10 +115,10 @@ def _bidir(normalize: bool, filtered: bool = True, within: bool = False, mean: b
 ), kb as (
   select w.sigma, w.slide_id, w.ct1, w.ct2, w.i, b.cc, sum(kc * b.score) as v from w join scores b on b.cell_id = w.j group by all
 ), one as (
-  select b.sigma, b.slide_id, b.ct1, b.ct2, s.cc, case when count(*) < 2 then 1 when stddev_pop(coalesce(ka.v, 0)) * stddev_pop(s.score) < 1e-12 then 0 else corr(coalesce(ka.v, 0), s.score) end as c1 from blocks b join scores s on s.slide_id = b.slide_id and s.cell_type = b.ct2
+  select b.sigma, b.slide_id, b.ct1, b.ct2, s.cc, case when count(*) < 2 then 1 when stddev_pop(coalesce(ka.v, 0)) * stddev_pop(s.score) < 1e-12 then {no_variation} else corr(coalesce(ka.v, 0), s.score) end as c1 from blocks b join scores s on s.slide_id = b.slide_id and s.cell_type = b.ct2
   {how} ka on ka.sigma = b.sigma and ka.slide_id = b.slide_id and ka.ct1 = b.ct1 and ka.ct2 = b.ct2 and ka.j = s.cell_id and ka.cc = s.cc group by all
 ), two as (
-  select b.sigma, b.slide_id, b.ct1, b.ct2, s.cc, case when count(*) < 2 then 1 when stddev_pop(coalesce(kb.v, 0)) * stddev_pop(s.score) < 1e-12 then 0 else corr(coalesce(kb.v, 0), s.score) end as c2 from blocks b join scores s on s.slide_id = b.slide_id and s.cell_type = b.ct1
+  select b.sigma, b.slide_id, b.ct1, b.ct2, s.cc, case when count(*) < 2 then 1 when stddev_pop(coalesce(kb.v, 0)) * stddev_pop(s.score) < 1e-12 then {no_variation} else corr(coalesce(kb.v, 0), s.score) end as c2 from blocks b join scores s on s.slide_id = b.slide_id and s.cell_type = b.ct1
   {how} kb on kb.sigma = b.sigma and kb.slide_id = b.slide_id and kb.ct1 = b.ct1 and kb.ct2 = b.ct2 and kb.i = s.cell_id and kb.cc = s.cc group by all
 ), both_ways as (
   select sigma, slide_id, ct1, ct2, cc, (c1 + c2) / 2 as bidir from one join two using (sigma, slide_id, ct1, ct2, cc)
@@ -159,6 +159,26 @@ WEIGHTS8 = "weights as (select g::integer as gene, 1::integer as cc, (g - 3) / 1
 STATS8 = "stats as (select gene, avg(value) as m, case when stddev_samp(value) < 1e-8 then 1 else stddev_samp(value) end as s from ref group by gene)"
 
 
+#: Scores of all genes, standardised by the first type, for both types.
+CARRIED = f"""{LONG}, genes as (
+  select gene, avg(value) as m, case when stddev_samp(value) < 1e-8 then 1 else stddev_samp(value) end as s, (gene - 3) / 10.0::double as w from long where cell_type = 'T0' group by gene
+), scores as (
+  select slide_id, cell_type, cell_id, 1::integer as cc, sum((value - m) / s * w) as score from long join genes using (gene) where abs(w) > 0 group by slide_id, cell_type, cell_id
+)"""
+MORPHOLOGY = _low(False) + """, scaled as (
+  select n.slide_id, n.ct1, n.ct2, i, j, greatest(d, low) * (0.01 / (select min(low) from lows)) as d from nonzero n join lows using (slide_id, ct1, ct2)
+), joined as (
+  select s.*, hops from scaled s left join {last} using (slide_id, i, j)
+), fit as (
+  select slide_id, ct1, ct2, count(*) as n, regr_slope(d, hops) as slope, regr_intercept(d, hops) as intercept from joined where hops <= 4 group by all
+), most as (
+  select slide_id, ct1, ct2, max(d) as m from joined group by all
+), moved as (
+  select slide_id, ct1, ct2, case when hops is null and n >= 10 and d < intercept + slope * 3 then m else d end as d from joined left join fit using (slide_id, ct1, ct2) join most using (slide_id, ct1, ct2)
+)
+select slide_id, ct1, ct2, count(*) as n, round(avg(d), 6) + 0 as mean_d, round(max(d), 6) + 0 as most_d from moved group by slide_id, ct1, ct2"""
+
+
 def _knn(k: int) -> str:
     return f"near as (select slide_id, i, j, d, row_number() over (partition by slide_id, i order by d, j) as rank from everything qualify row_number() over (partition by slide_id, i order by d, j) <= {k})"
 
@@ -226,12 +246,32 @@ select sigma from valid group by sigma having bool_or(ok)""",
         "bidir_corr_none": _bidir(False),
         "bidir_corr_unfiltered": _bidir(True, False),
         "bidir_corr_aggregate": _bidir(True, mean=True),
+        "bidir_corr_aggregate_finite": _bidir(True, mean=True, no_variation="null"),
         "self_bidir_corr": _bidir(True, within=True),
         "corr_two_types": f"""{_kernel()}, {SCORES}
 select b.sigma, b.slide_id, b.ct1, b.ct2, s.cell_id as j, round(coalesce(v, 0), 6) + 0 as ak, round(s.score, 6) + 0 as b
 from (select distinct sigma, slide_id, ct1, ct2 from k) b join scores s on s.slide_id = b.slide_id and s.cell_type = b.ct2 and s.cc = 1
 left join (select k.sigma, k.j, sum(k * score) as v from k join scores on cell_id = i and cc = 1 group by all) a on a.sigma = b.sigma and a.j = s.cell_id""",
-        "kernel_smoothed_scores": f"{_kernel()}, {SCORES} select k.sigma, k.slide_id, ct1, ct2, i, cc, round(sum(k * score) / sum(k), 6) + 0 as smooth from k join scores on cell_id = j group by k.sigma, k.slide_id, ct1, ct2, i, cc",
+        "kernel_smoothed_scores": f"""{_kernel()}, {SCORES}, means as (
+  select k.sigma, k.slide_id, ct1, ct2, i, cc, sum(k * score) / sum(k) as v from k join scores on cell_id = j group by k.sigma, k.slide_id, ct1, ct2, i, cc
+)
+select b.sigma, b.slide_id, b.ct1, b.ct2, s.cell_id as i, s.cc, round(coalesce(v, 0), 6) + 0 as smooth
+from (select distinct sigma, slide_id, ct1, ct2 from k) b join scores s on s.slide_id = b.slide_id and s.cell_type = b.ct1
+left join means m on m.sigma = b.sigma and m.slide_id = b.slide_id and m.ct2 = b.ct2 and m.i = s.cell_id and m.cc = s.cc""",
+        "corr_one_type": f"""{_kernel(True)}, {SCORES}
+select b.sigma, b.slide_id, b.ct1, b.ct2, s.cell_id as j, round(coalesce(v, 0), 6) + 0 as ak, round(s.score, 6) + 0 as b
+from (select distinct sigma, slide_id, ct1, ct2 from k) b join scores s on s.slide_id = b.slide_id and s.cell_type = b.ct2 and s.cc = 1
+left join (select k.sigma, k.j, sum(k * score) as v from k join scores on cell_id = i and cc = 1 group by all) a on a.sigma = b.sigma and a.j = s.cell_id""",
+        "kernel_operator": f"""{_kernel()}
+select k.sigma, k.slide_id, ct1, ct2, r::integer as r, c::integer as c, round(sum(k * a.features[r]::double * b.features[c]::double), 5) + 0 as value
+from k join cells a on a.cell_id = i join cells b on b.cell_id = j, range(1, 5) x(r), range(1, 5) y(c) group by k.sigma, k.slide_id, ct1, ct2, r, c""",
+        "default_sigma": f"{_kernel(clip=False)} select round(quantile_cont(d, 0.05), 6) + 0 as sigma from scaled where d > 0",
+        "kernel_float32": f"{_kernel()} select sigma, slide_id, ct1, ct2, count(*) as n, round(sum(k::float::double), 6) as sum_k from k group by all",
+        "morphology_filter": _hops(5, 4, MORPHOLOGY),
+        "resample_bins_kept": f"with {CELLS} select perm_id, slide_id, cell_type, count(*) as n, count(*) as n_same from cells, (select unnest(range(1, 6))::integer as perm_id) p group by all",
+        "resample_toroidal_kept": f"with {CELLS} select perm_id, slide_id, cell_type, count(*) as n, count(*) as n_same, count(*) as n_sources from cells, (select unnest(range(1, 6))::integer as perm_id) p group by all",
+        "transfer_bidir_corr": _bidir(True, start=f"{_kernel(sigmas='0.05')}, {CARRIED}", cut=5e-3, no_variation="null"),
+        "transfer_self_bidir_corr": _bidir(True, within=True, start=f"{_kernel(True, '0.05')}, {CARRIED}", no_variation="null"),
         "insitu_median_split": f"""with {CELLS}, s as (select *, case when cell_id % 7 <> 0 then features[1]::double end as score from cells)
 select cell_id, cell_type, slide_id, round(score, 6) + 0 as score, case when score is null then 'unknown_' when score > median(score) over (partition by cell_type) then 'high_' else 'low_' end || cell_type as score_label from s""",
         "regression_gene_scores": f"""with {CELLS}, {LONG}, {SCORES}
