@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, read_table
+from tessera.llm.common import has_caches, map_arrow, read_table
 
 #: File of the tokenizer where no path is given.
 TOKENIZER = "word_bpe_49k.json"
 #: A cut where the rolling hash has these bits zero: 256 bytes on average.
 CUT_MASK = np.uint32(255)
 #: Entries and bytes that the caches of one Python worker may hold.
-WORD_ENTRIES, CHUNK_BYTES = 300_000, 48_000_000
+WORD_ENTRIES, REPAIR_ENTRIES, CHUNK_BYTES = 300_000, 20_000, 32_000_000
 #: Bytes of ids after which a batch of results is handed over.
 OUT_BYTES = 4_000_000
 
@@ -108,7 +108,7 @@ class Encoder:
             spec = json.load(file)
         self.by_words = splits_at_space(spec)
         self.plain = self.by_words and bool(self.model) and self._same_pieces()
-        self.repairs = Generations(WORD_ENTRIES, lambda span: self._library(span.decode("utf-8", "surrogatepass")))
+        self.repairs = Generations(REPAIR_ENTRIES, lambda span: self._library(span.decode("utf-8", "surrogatepass")))
         self.chunks: dict[bytes, tuple] = {}
         self.chunk_bytes = 0
         size = self.tokenizer.get_vocab_size()
@@ -248,6 +248,7 @@ def cut(texts: list[bytes]) -> list[list[bytes]]:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+has_caches(__name__, _ENCODERS.clear)
 
 
 def encoder(path: str | None = None) -> Encoder:

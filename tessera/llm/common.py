@@ -72,11 +72,31 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: What empties a module's caches in this Python worker, and the module whose work it does now.
+_CACHES: dict[str, Callable[[], object]] = {}
+_AT_WORK = [""]
+
+
+def has_caches(module: str, empty: Callable[[], object]) -> None:
+    """empty() frees the module's caches when the worker goes over to another module's work."""
+    _CACHES[module] = empty
+
+
+def at_work(module: str) -> None:
+    """A worker that goes over to another operator drops the caches of those before, so that they don't add up."""
+    if _AT_WORK[0] != module:
+        for name, empty in _CACHES.items():
+            if name != module:
+                empty()
+        _AT_WORK[0] = module
+
+
 def map_arrow(df: DataFrame, of: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema) -> DataFrame:
     """mapInArrow with batches of bounded rows; of() gets a batch and returns one batch, or yields several."""
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work(of.__module__)
         for batch in batches:
             got = of(batch)
             if got is None:

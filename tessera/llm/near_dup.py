@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, checkpointed, map_arrow, read_table
+from tessera.llm.common import bounded_batches, checkpointed, has_caches, map_arrow, read_table
 
 #: Registers, registers in a band; sketch base, rate and largest value less one.
 REGISTERS, BAND = 128, 4
@@ -65,13 +65,14 @@ class WordHashes(dict):
     """64-bit hashes of words, with a bounded memory."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
 
 
 _WORDS = WordHashes()
+has_caches(__name__, _WORDS.clear)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encoder
-from tessera.llm.common import bounded_batches, read_table, remove_at_exit, shared_dir
+from tessera.llm.common import at_work, bounded_batches, read_table, remove_at_exit, shared_dir
 
 #: Symbols between two checkpoints of a container.
 STRIDE = 1024
@@ -223,6 +223,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        at_work(__name__)
         shard, number, held, before = TaskContext.get().partitionId(), 0, 0, 0
         ids, parts, lengths = [], [], []
         end = np.array([end_id], "<u4").tobytes()

@@ -763,6 +763,19 @@ def test_token_store_cleans_up(spark, monkeypatch, tmp_path):
     assert not list(tmp_path.iterdir())
 
 
+def test_workers_keep_the_caches_of_one_operator(monkeypatch):
+    emptied = []
+    monkeypatch.setattr(common, "_CACHES", {"a": lambda: emptied.append("a"), "b": lambda: emptied.append("b")})
+    monkeypatch.setattr(common, "_AT_WORK", [""])
+    for module in ("a", "a", "b", "c", "c", "a"):
+        common.at_work(module)
+    assert emptied == ["b", "a", "a", "b", "b"]
+    enc = bpe.encoder()
+    enc.encode(["some words"])
+    bpe._ENCODERS.clear()
+    assert bpe.encoder() is not enc
+
+
 def test_digests(spark):
     got = bpe.op3_bpe(spark, SF).limit(3).collect()
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
