@@ -19,7 +19,7 @@ from tessera.llm.common import read_table
 
 #: Buckets (a power of two), pseudo-count of each, weights of one, least mean weight.
 BUCKETS, SMOOTHING, SCALE, MIN_SCORE = 2**16, 16.0, 1_000_000, -0.1
-#: Ids of trusted documents up to this number are broadcast (8 bytes each); beyond it the join is shuffled.
+#: Ids of trusted documents up to this number are broadcast (about 64 bytes each as a hash relation); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 SYMBOLS = "#*$%&|<>"
 SPACE = r"[\x20\x09-\x0D]+"
