@@ -18,10 +18,13 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
+import sys
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +36,8 @@ TOKENIZER = "word_bpe_49k.json"
 CUT_MASK = np.uint32(255)
 #: Entries and bytes that the caches of one Python worker may hold.
 WORD_ENTRIES, REPAIR_ENTRIES, CHUNK_BYTES = 300_000, 20_000, 32_000_000
-#: Bytes of ids after which a batch of results is handed over.
-OUT_BYTES = 4_000_000
+#: Words whose ids are put together at a time.
+GATHER_WORDS = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -42,6 +45,8 @@ _GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 #: Words of these characters are cut into pieces here; all others go through the library's own normaliser and splitter.
 _PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
+#: The pieces with blanks around them that leave the others standing between blanks, too.
+_SET_APART = r"([a-zà-öø-ÿß]+|[0-9])"
 
 
 def default_tokenizer() -> str:
@@ -115,16 +120,17 @@ class Encoder:
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(size)]
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _same_pieces(self) -> bool:
         """Whether the short way of encoding plain words gives what the library gives, on probes of each kind."""
         probes = ["Word", "WÖRD12x", "a.b,c!!", "the***", "x$$$y%%%", "é", "ÀÉÎß", "99", "a1b2", "==", "<x>", "don", "&&&", "ñandú-ü;", "ÿÿ", "A" * 40]
-        return all(self._pieces(p) == self._library(p) for p in probes if _PLAIN.fullmatch(p))
+        self.plain = True
+        return all(self._pieces(p) == self._library(p) == self._table(pa.array([p]))[0].tobytes() for p in probes if _PLAIN.fullmatch(p))
 
     def _piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() else "".join(map(_byte_char, piece.encode()))
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        return _bytes_of([t.id for t in self.model.tokenize(mapped)])
 
     def _pieces(self, word: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, _PIECE.findall(word.lower())))
@@ -149,6 +155,47 @@ class Encoder:
         """The ids of bytes that begin and end at white space, or at an end of the text."""
         return b"".join(map(self.word, span.split())) if self.by_words else self._library(span.decode("utf-8", "surrogatepass"))
 
+    def spans(self, texts: pa.Array, end: int) -> tuple[Iterator[np.ndarray], np.ndarray]:
+        """The ids of whole texts, each followed by end, in pieces one after the other; and the number of ids of each text, end included.
+
+        Each different word of the texts is looked up once, and its ids are put wherever it stands.
+        """
+        if not self.by_words:
+            ids = [np.frombuffer(self._library(t or ""), "<u4") for t in texts.to_pylist()]
+            return (np.append(x, np.uint32(end)) for x in ids), np.array([len(x) + 1 for x in ids], np.int64)
+        words = pc.ascii_split_whitespace(texts)
+        n_words = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        flat, starts, size = self._table(coded.dictionary)
+        # the last entry is the end of a text
+        flat, starts, size = np.append(flat, np.uint32(end)), np.append(starts, len(flat)), np.append(size, 1)
+        ends = np.cumsum(n_words)
+        number = np.insert(coded.indices.to_numpy(), ends, len(size) - 1)
+        pieces = (_taken(flat, starts, size, number[at : at + GATHER_WORDS]) for at in range(0, len(number), GATHER_WORDS))
+        upto = np.concatenate([[0], np.cumsum(size[number])])
+        return pieces, np.diff(upto[ends + np.arange(1, len(ends) + 1)], prepend=0)
+
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of different words one after the other, where each word's begin, and how many it has."""
+        if not self.plain:
+            return _joined(map(self.word, words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()))
+        plain = pc.match_substring_regex(words, f"^{_PLAIN.pattern}$")
+        spaced = pc.replace_substring_regex(pc.utf8_lower(words), pattern=_SET_APART, replacement=r" \1 ")
+        pieces = pc.ascii_split_whitespace(pc.if_else(plain, spaced, ""))
+        coded = pieces.flatten().dictionary_encode()
+        number = coded.indices.to_numpy()
+        table = _joined(map(self.pieces.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        flat = _taken(*table, number)
+        upto = np.concatenate([[0], np.cumsum(table[2][number])])
+        size = np.diff(upto[np.cumsum(pc.list_value_length(pieces).to_numpy())], prepend=0)
+        starts = np.cumsum(size) - size
+        other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        if len(other):
+            more, at, n = _joined(map(self.word, words.take(pa.array(other)).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()))
+            starts[other], size[other] = len(flat) + at, n
+            flat = np.concatenate([flat, more])
+        return flat, starts, size
+
     def chunk(self, chunk: bytes) -> tuple | None:
         """(bytes up to the end of its first whole word, ids of that word, ids of all whole words, bytes from the last whole word on, ids of that word), or None without a whole word."""
         got = self.chunks.get(chunk, 0)
@@ -206,6 +253,28 @@ class Encoder:
         return " ".join([tokens[i] for i in numbers])
 
 
+def _bytes_of(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
+def _joined(ids: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ids one after the other, where each begins, and how many ids it has."""
+    runs = list(ids)
+    size = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+    return np.frombuffer(b"".join(runs), "<u4"), np.cumsum(size) - size, size
+
+
+def _taken(flat: np.ndarray, starts: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The runs with these numbers one after the other."""
+    sizes = size[number]
+    upto = np.cumsum(sizes)
+    return flat[np.repeat(starts[number] - (upto - sizes), sizes) + np.arange(sizes.sum())]
+
+
 def _byte_char(b: int) -> str:
     """The printable character that byte-level tokenizers use for a byte."""
     return _BYTE_CHARS[b]

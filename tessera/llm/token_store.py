@@ -32,6 +32,8 @@ from tessera.llm.common import at_work, bounded_batches, read_table, remove_at_e
 STRIDE = 1024
 #: Tokens after which a shard's container is closed; bounds the memory of a task.
 CONTAINER_TOKENS = 4_000_000
+#: Bytes of text that are encoded at a time, from as many batches as it takes.
+GROUP_BYTES = 8_000_000
 #: Shards whose first tokens are broadcast (64 bytes each); beyond it the join is shuffled. Shards added up in one task.
 BROADCAST_SHARDS, SHARDS = 1_000_000, 1024
 #: Pairs replaced in a round, and the least count of a pair.
@@ -205,6 +207,19 @@ class Container:
             at += n
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of batches put together until they have GROUP_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= GROUP_BYTES:
+            yield tuple(pa.concat_arrays([b.column(k) for b in held]) for k in range(2))
+            held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([b.column(k) for b in held]) for k in range(2))
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, tokenizer: str | None = None) -> None:
     """Encode whole texts, append end_id to each, and write containers in ascending doc_id order.
 
@@ -226,20 +241,23 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         at_work(__name__)
         shard, number, held, before = TaskContext.get().partitionId(), 0, 0, 0
         ids, parts, lengths = [], [], []
-        end = np.array([end_id], "<u4").tobytes()
 
         def closed() -> pa.RecordBatch:
-            data = compress(np.frombuffer(b"".join(parts), "<u4"), lengths)
+            data = compress(np.concatenate(parts), lengths)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["shard", "number", "before", "tokens", "doc_ids", "data"])
 
-        for batch in batches:
-            enc = encoder(tokenizer)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = enc.span((text or "").encode("utf-8", "surrogatepass"))
+        for doc_ids, texts in _groups(batches):
+            pieces, sizes = encoder(tokenizer).spans(texts, end_id)
+            piece, at = np.empty(0, "<u4"), 0
+            for doc_id, n in zip(doc_ids.to_pylist(), sizes.tolist()):
                 ids.append(doc_id)
-                parts += [got, end]
-                lengths.append(len(got) // 4 + 1)
-                held += lengths[-1]
+                lengths.append(n)
+                held += n
+                while n:
+                    if at == len(piece):
+                        piece, at = next(pieces), 0
+                    parts.append(piece[at : at + n])
+                    at, n = at + len(parts[-1]), n - len(parts[-1])
                 if held >= CONTAINER_TOKENS:
                     yield closed()
                     number, before, held, ids, parts, lengths = number + 1, before + held, 0, [], [], []

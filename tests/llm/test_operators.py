@@ -8,6 +8,7 @@ import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -783,3 +784,13 @@ def test_digests(spark):
     for r in got:
         ids = enc.encode([text[r.doc_id]])[0]
         assert r.ids_sha256 == hashlib.sha256(ids).hexdigest() and r.decoded_sha256 == hashlib.sha256(enc.decode(ids).encode()).hexdigest()
+
+
+def test_spans_of_groups_are_the_librarys():
+    enc = bpe.encoder()
+    texts = [None, "", " \n", "It's a<b> <|endoftext|> <|STARTOFTEXT|>", "ÀÉß×÷ ÿÿ12x3 µ½ª", "日本 語a1 x\x1cy z\x00 \x0b\x0c\r\t é", "|||  a||b 0x1F", "A" * 5000 + " " + "9" * 50, "İstanbul ΑΣ", "a b c"]
+    for group in (texts, [None], [""], [], ["same same"] * 3):
+        pieces, sizes = enc.spans(pa.array(group, pa.string()), 1)
+        want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in group]
+        assert [x for p in pieces for x in p.tolist()] == [x for w in want for x in w]
+        assert sizes.tolist() == [len(w) for w in want]
