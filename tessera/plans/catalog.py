@@ -365,6 +365,18 @@ def _glm(spark, d):
     return gene_tests.gene_glm(_cells(spark, d), _given_scores(spark, d, [0.05]), ["x", "y"])
 
 
+def _glm_estimates(spark, d):
+    return _rounded(_glm(spark, d).select("sigma", "cell_type", "cc", "gene", "estimate", "n"), 5, "estimate")
+
+
+def _mixed(spark, d):
+    return gene_tests.gene_mixed(_cells(spark, d), _given_scores(spark, d, [0.05]), "slide_id", ["x", "y"])
+
+
+def _uncorrelated(spark, d):
+    return _rounded(simulate.uncorrelated_scores(_kernel(spark, d, sigmas=[0.05]), _given_scores(spark, d, [0.05])), 5, "score")
+
+
 def _simulated(spark, d):
     return simulate.smooth_cells(spark, 100, 20, slides=2).select("cell_id", "slide_id", "cell_type", "x", "y", "spatial_score")
 
@@ -452,6 +464,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "colocalization": _coloc,
         "g12_summary": _g_curves,
         "gene_glm": _glm,
+        "gene_glm_estimates": _glm_estimates,
+        "gene_mixed": _mixed,
+        "uncorrelated_scores": _uncorrelated,
         "simulated_cells": _simulated,
         "sliced_slides": _sliced,
     }

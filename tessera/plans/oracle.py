@@ -206,6 +206,42 @@ select l_returnflag, count(*) as n, count(*) filter (where not (v < {low} or v >
 from (select l_returnflag, l_extendedprice as v from lineitem) l join s using (l_returnflag) group by 1"""
 
 
+# least squares on the gene's value v, x and y, by Cramer's rule over covariances
+GLM = f"""with {CELLS}, {LONG}, {SCORES}, m as (
+  select cell_type, cc, gene, count(*) as n, covar_pop(value, value) as vv, covar_pop(value, x) as vx, covar_pop(value, y) as vy, covar_pop(x, x) as xx, covar_pop(x, y) as xy, covar_pop(y, y) as yy,
+    covar_pop(value, score) as vs, covar_pop(x, score) as xs, covar_pop(y, score) as ys
+  from long join scores using (slide_id, cell_type, cell_id) join cells using (slide_id, cell_type, cell_id) group by all
+)
+select 0.05::double as sigma, cell_type, cc, gene, round((vs * (xx * yy - xy * xy) - vx * (xs * yy - xy * ys) + vy * (xs * xy - xx * ys))
+  / (vv * (xx * yy - xy * xy) - vx * (vx * yy - xy * vy) + vy * (vx * xy - xx * vy)), 5) + 0 as estimate, n from m"""
+
+# s1'K s2 taken out of the scores of both types, half each, then the rest out of the first
+UNCORRELATED = f"""{_kernel(sigmas="0.05")}, {SCORES}, rn as (
+  select sigma, slide_id, ct1, ct2, i, j, k / sum(k) over (partition by sigma, slide_id, ct1, ct2, i) as k from k
+), blocks as (select distinct sigma, slide_id, ct1, ct2 from rn), one0 as (
+  select b.*, s.cell_id as i, s.cc, s.score from blocks b join scores s on s.slide_id = b.slide_id and s.cell_type = b.ct1
+), two0 as (
+  select b.*, s.cell_id as j, s.cc, s.score from blocks b join scores s on s.slide_id = b.slide_id and s.cell_type = b.ct2
+), one1 as (
+  select o.*, coalesce(t, 0) as along from one0 o left join (select rn.slide_id, rn.i, two0.cc, sum(k * score) as t from rn join two0 on rn.slide_id = two0.slide_id and rn.j = two0.j group by all) x on x.slide_id = o.slide_id and x.i = o.i and x.cc = o.cc
+), two1 as (
+  select o.*, coalesce(t, 0) as along from two0 o left join (select rn.slide_id, rn.j, one0.cc, sum(k * score) as t from rn join one0 on rn.slide_id = one0.slide_id and rn.i = one0.i group by all) x on x.slide_id = o.slide_id and x.j = o.j and x.cc = o.cc
+), step as (
+  select slide_id, cc, c, nn, mm, abs(c) >= 1e-10 and nn >= 1e-10 and mm >= 1e-10 as moves
+  from (select slide_id, cc, sum(score * along) as c, sum(along * along) as nn from one1 group by all) join (select slide_id, cc, sum(along * along) as mm from two1 group by all) using (slide_id, cc)
+), one2 as (
+  select o.sigma, slide_id, ct1, i, cc, moves, case when moves then score - c / 2 / nn * along else score end as score from one1 o join step using (slide_id, cc)
+), two2 as (
+  select t.sigma, slide_id, ct2, j, cc, case when moves then score - c / 2 / mm * along else score end as score from two1 t join step using (slide_id, cc)
+), one3 as (
+  select o.*, coalesce(t, 0) as along from one2 o left join (select rn.slide_id, rn.i, two2.cc, sum(k * score) as t from rn join two2 on rn.slide_id = two2.slide_id and rn.j = two2.j group by all) x on x.slide_id = o.slide_id and x.i = o.i and x.cc = o.cc
+), residual as (
+  select slide_id, cc, sum(score * along) as c, sum(along * along) as nn from one3 group by all
+)
+select o.sigma, slide_id, ct1 as cell_type, i as cell_id, cc, round(case when moves and abs(c) > 1e-10 and nn > 1e-10 then score - c / nn * along else score end, 5) + 0 as score from one3 o join residual using (slide_id, cc)
+union all select sigma, slide_id, ct2, j, cc, round(score, 5) + 0 from two2"""
+
+
 def oracle_sql() -> dict[str, str]:
     pairs = "select slide_id, ct1, ct2, count(*) as n, round(sum(d), 6) as sum_d from everything where d <= 0.1 group by all"
     lows = "select slide_id, ct1, ct2, round(d_min, 9) as d_min, round(low, 9) as low from lows"
@@ -266,6 +302,8 @@ left join (select k.sigma, k.j, sum(k * score) as v from k join scores on cell_i
 select k.sigma, k.slide_id, ct1, ct2, r::integer as r, c::integer as c, round(sum(k * a.features[r]::double * b.features[c]::double), 5) + 0 as value
 from k join cells a on a.cell_id = i join cells b on b.cell_id = j, range(1, 5) x(r), range(1, 5) y(c) group by k.sigma, k.slide_id, ct1, ct2, r, c""",
         "default_sigma": f"{_kernel(clip=False)} select round(quantile_cont(d, 0.05), 6) + 0 as sigma from scaled where d > 0",
+        "gene_glm_estimates": GLM,
+        "uncorrelated_scores": UNCORRELATED,
         "kernel_float32": f"{_kernel()} select sigma, slide_id, ct1, ct2, count(*) as n, round(sum(k::float::double), 6) as sum_k from k group by all",
         "morphology_filter": _hops(5, 4, MORPHOLOGY),
         "resample_bins_kept": f"with {CELLS} select perm_id, slide_id, cell_type, count(*) as n, count(*) as n_same from cells, (select unnest(range(1, 6))::integer as perm_id) p group by all",
