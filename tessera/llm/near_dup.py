@@ -6,12 +6,15 @@ q + 1. The registers of a union are the larger registers of its parts, so sketch
 Two sets share a register with a probability close to their Jaccard similarity.
 
 1. Equal sets collapse into one class, whose node is the smallest doc_id.
-2. Bands of registers give buckets; each node is paired with two hubs of its bucket, the smallest and
-   the largest node, so that a large group gives rows in proportion to its size.
+2. Bands of registers give buckets. Each node is first paired with one hub: of the smallest nodes of its
+   buckets the one that it shares most buckets with. Then it is paired with the smallest and the largest
+   node of each of its buckets that are in other components so far, so that a large group, which one
+   hub has joined, gives no more than a pair for each node.
 3. A pair whose joint likelihood (counts of larger, smaller and equal registers, given both exact set
    sizes) speaks strongly against the threshold is dropped; the others are confirmed on full sets. A
    hub's text goes out once for every PARTNERS of its partners, not once with each.
-4. Confirmed links give components. While buckets of over BLOCK nodes hold several components, their
+4. Confirmed links give components; later links join these, so that each round looks at its own links
+   only. While buckets of over BLOCK nodes hold several components, their
    nodes are paired with new hubs, drawn by hash, as long as that joins components: each round again
    gives rows in proportion to the nodes, and what is near to many others is joined after a few.
 5. Buckets that still hold several components are searched completely within tasks, between
@@ -259,22 +262,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     involved = members.select("node").distinct()
     texts = checkpointed(docs.where("doc_id is not null and text is not null").join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct())
-    # the largest node is paired with those that are neither hub; a pair's first node is the hub
-    hubs = members.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).union(members.where("node != low and node != high").select(F.col("high").alias("a"), F.col("node").alias("b"))).distinct()
-    links = checkpointed(_confirmed(_estimated(hubs, nodes, percent), texts, size, percent).union(copies).distinct())
+    links = checkpointed(_confirmed(_estimated(_first_hubs(members), nodes, percent), texts, size, percent).union(copies).distinct())
     labels = None if links.isEmpty() else components(links)
-    for k in range(ROUNDS):
-        drawn = checkpointed(_drawn(members, labels, k))
-        new = None if drawn.isEmpty() else checkpointed(_confirmed(_estimated(drawn, nodes, percent), texts, size, percent))
-        if new is None or new.isEmpty():
+    for k in range(-1, ROUNDS):
+        pairs = checkpointed(_hubs(members, labels) if k < 0 else _drawn(members, labels, k))
+        new = None if pairs.isEmpty() else checkpointed(_confirmed(_estimated(pairs, nodes, percent), texts, size, percent))
+        if new is not None and not new.isEmpty():
+            labels = _joined(labels, new)
+        elif k >= 0:
             break
-        links = links.union(new)
-        labels = components(links)
 
     more = checkpointed(_between(members, nodes, texts, labels, size, percent))
     if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links)
+        labels = _joined(labels, more)
 
     of_key = _labelled(classes, labels).select("key", "component")
     found = rows.join(of_key, "key", "left") if labels is not None else rows.join(classes.select("key", F.col("node").alias("component")), "key", "left")
@@ -282,6 +282,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The labels (node, component) after edges (a, b) between them: only components and new nodes that the edges touch are worked on."""
+    if labels is None:
+        return components(edges)
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    top = components(ends.where("a != b").distinct())
+    moved = labels.join(top.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return checkpointed(moved.union(top.join(labels.select("node"), "node", "left_anti")))
+
+
+def _first_hubs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): for each node the smallest node of its buckets that it shares most buckets with, the smaller one of equals."""
+    shared = members.where("node != low").select("node", "low").repartition("node").groupBy("node", "low").agg(F.count("*").alias("n"))
+    best = shared.groupBy("node").agg(F.max(F.struct(F.col("n"), (-F.col("low")).alias("minus"))).alias("best"))
+    return best.select((-F.col("best.minus")).alias("a"), F.col("node").alias("b"))
+
+
+def _hubs(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of the smallest and the largest node of each bucket and its nodes that are in other components so far."""
+    of = _labelled(members.select("bucket", "node"), labels)
+    node = F.struct("node", "component")
+    ends = of.groupBy("bucket").agg(F.min(node).alias("x"), F.max(node).alias("y"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+    ends = ends.select("bucket", F.explode(F.array("x", "y")).alias("hub")).select("bucket", F.col("hub.node").alias("a"), F.col("hub.component").alias("c"))
+    # a pair of the two hubs themselves is told once
+    pairs = of.join(ends, "bucket").where("component != c").select(F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y"), F.col("a"), F.col("node").alias("b"))
+    return pairs.groupBy("x", "y").agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
+
+
 def _drawn(members: DataFrame, labels: DataFrame | None, k: int) -> DataFrame:
     """Pairs (a, b) of new hubs and the nodes of their bucket that are in other components so far, for buckets of over BLOCK nodes."""
     of = _labelled(members.where(F.col("n") > BLOCK), labels)

@@ -145,6 +145,23 @@ def test_large_mixed_buckets_lose_no_link(spark, monkeypatch, rounds):
     assert len(set(joined.values())) == len({min(joined[c] for c in cs) for cs in by_doc.values()})
 
 
+def test_a_large_group_is_joined_by_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for at in rng.choice(200, 2, replace=False).tolist():
+            words[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(words)))
+    counts = []
+    real = near_dup._estimated
+    monkeypatch.setattr(near_dup, "_estimated", lambda pairs, nodes, percent: (counts.append(pairs.count()), real(pairs, nodes, percent))[1])
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
+    assert {r.component_id for r in got} == {0}
+    assert sum(counts) <= 4 * len(rows)
+
+
 def test_search_between_components_within_tasks(spark, monkeypatch):
     """With one hub pair ruled out, the complete search finds the link."""
     a = [f"a{k}" for k in range(100)]
