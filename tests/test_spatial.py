@@ -140,6 +140,21 @@ def test_permutations_and_conditional_test(spark, fitted):
     assert fair.count() == 8
 
 
+def test_permutations_of_a_large_kernel_give_the_same(spark, fitted, monkeypatch):
+    df, _, scores, k, _, _ = fitted
+    norms = kernel.centered_norm(k, distance.blocks(df, [("TypeA", "TypeB")]))
+    weights = cca.kernel_cca(cca.operators(k, scores), 2).weights
+    small = inference.Problem(scores, df, k, norms, ("TypeA", "TypeB"))
+    monkeypatch.setattr(inference, "TRIPLETS", 100)
+    large = inference.Problem(scores, df, k, norms, ("TypeA", "TypeB"))
+    assert small.large is None and large.large is not None and not large.kernels
+    for options in ({"n_axes": 2, "observed": weights}, {"method": "toroidal", "which": "both"}):
+        a, b = ({(r.perm_id, r.sigma, r.cc): r.stat for r in inference.permuted_statistics(spark, p, 5, **options).collect()} for p in (small, large))
+        assert a.keys() == b.keys() and all(abs(a[at] - b[at]) < 1e-8 for at in a)
+    a, b = (inference.conditional_test(spark, p, weights, 9).orderBy("cc").collect() for p in (small, large))
+    assert [r.p_raw for r in a] == [r.p_raw for r in b] and [r.observed_stat for r in a] == pytest.approx([r.observed_stat for r in b])
+
+
 def test_sinkhorn_rows_sum_to_one(fitted):
     df, _, _, k, _, kept = fitted
     s = correlation.sinkhorn(k.where(F.col("sigma") == kept[-1]), most=300, tol=1e-6)
