@@ -39,7 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, checkpointed, has_caches, map_arrow, read_table
+from tessera.llm.common import bounded_batches, checkpointed, has_caches, map_arrow, read_table, release
+from tessera.llm.graph import components, joined, labelled
 
 #: Registers, registers in a band; sketch base, rate and largest value less one.
 REGISTERS, BAND = 128, 4
@@ -207,35 +208,6 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of the edges (a, b): the smallest node reachable.
-
-    Each round lowers the label of a node, and of the label's own node, to the smallest label among
-    its neighbours, then follows labels of labels; the number of rounds grows with the logarithm of
-    the longest path. Only a count of changes reaches the driver.
-    """
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    while True:
-        of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("l_b"))
-        of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("l_a"))
-        least = both.join(of_b, "b").groupBy("a").agg(F.min("l_b").alias("l")).join(of_a, "a")
-        offers = least.select(F.col("a").alias("node"), "l").union(least.where("l < l_a").select(F.col("l_a").alias("node"), "l")).groupBy("node").agg(F.min("l").alias("l"))
-        lower = labels.join(offers, "node").select("node", F.least("component", "l").alias("component"), F.col("component").alias("was"))
-        up = lower.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = checkpointed(lower.join(up, "component").select("node", F.least("component", "up").alias("component"), "was"))
-        labels = new.select("node", "component")
-        if new.where("component != was").isEmpty():
-            return labels
-
-
-def _labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """df with the component of its node, the node itself where it has no links."""
-    if labels is None:
-        return df.withColumn("component", F.col("node"))
-    return df.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
@@ -262,37 +234,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     involved = members.select("node").distinct()
     texts = checkpointed(docs.where("doc_id is not null and text is not null").join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct())
+    release(spark)
     links = checkpointed(_confirmed(_estimated(_first_hubs(members), nodes, percent), texts, size, percent).union(copies).distinct())
     labels = None if links.isEmpty() else components(links)
     for k in range(-1, ROUNDS):
+        release(spark)
         pairs = checkpointed(_hubs(members, labels) if k < 0 else _drawn(members, labels, k))
         new = None if pairs.isEmpty() else checkpointed(_confirmed(_estimated(pairs, nodes, percent), texts, size, percent))
         if new is not None and not new.isEmpty():
-            labels = _joined(labels, new)
+            labels = joined(labels, new)
         elif k >= 0:
             break
 
+    release(spark)
     more = checkpointed(_between(members, nodes, texts, labels, size, percent))
     if not more.isEmpty():
-        labels = _joined(labels, more)
+        labels = joined(labels, more)
 
-    of_key = _labelled(classes, labels).select("key", "component")
+    of_key = labelled(classes, labels).select("key", "component")
     found = rows.join(of_key, "key", "left") if labels is not None else rows.join(classes.select("key", F.col("node").alias("component")), "key", "left")
     found = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """The labels (node, component) after edges (a, b) between them: only components and new nodes that the edges touch are worked on."""
-    if labels is None:
-        return components(edges)
-    of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    top = components(ends.where("a != b").distinct())
-    moved = labels.join(top.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-    return checkpointed(moved.union(top.join(labels.select("node"), "node", "left_anti")))
-
-
 def _first_hubs(members: DataFrame) -> DataFrame:
     """Pairs (a, b): for each node the smallest node of its buckets that it shares most buckets with, the smaller one of equals."""
     shared = members.where("node != low").select("node", "low").repartition("node").groupBy("node", "low").agg(F.count("*").alias("n"))
@@ -302,7 +266,7 @@ def _first_hubs(members: DataFrame) -> DataFrame:
 
 def _hubs(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Pairs (a, b) of the smallest and the largest node of each bucket and its nodes that are in other components so far."""
-    of = _labelled(members.select("bucket", "node"), labels)
+    of = labelled(members.select("bucket", "node"), labels)
     node = F.struct("node", "component")
     ends = of.groupBy("bucket").agg(F.min(node).alias("x"), F.max(node).alias("y"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
     ends = ends.select("bucket", F.explode(F.array("x", "y")).alias("hub")).select("bucket", F.col("hub.node").alias("a"), F.col("hub.component").alias("c"))
@@ -313,7 +277,7 @@ def _hubs(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _drawn(members: DataFrame, labels: DataFrame | None, k: int) -> DataFrame:
     """Pairs (a, b) of new hubs and the nodes of their bucket that are in other components so far, for buckets of over BLOCK nodes."""
-    of = _labelled(members.where(F.col("n") > BLOCK), labels)
+    of = labelled(members.where(F.col("n") > BLOCK), labels)
     draw = F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "component")
     hubs = of.groupBy("bucket").agg(F.min(draw).alias("x"), F.max(draw).alias("y"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
     hubs = hubs.select("bucket", F.explode(F.array("x", "y")).alias("hub")).select("bucket", F.col("hub.node").alias("a"), F.col("hub.component").alias("c"))
@@ -322,7 +286,7 @@ def _drawn(members: DataFrame, labels: DataFrame | None, k: int) -> DataFrame:
 
 def _between(members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame | None, size: int, percent: int) -> DataFrame:
     """Links (a, b) that join nodes which share a bucket and are in different components so far."""
-    of = checkpointed(_labelled(members, labels))
+    of = checkpointed(labelled(members, labels))
     parts = of.groupBy("bucket", "component").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("n"), F.count("*").alias("several")).where("several > 1")
     # buckets of a block or less go to one task; of others the largest component has blocks of its own

@@ -14,7 +14,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import bpe, common, decontaminate, html_text, language, licenses, line_dedup, near_dup, quality_model, quality_rules, registry, token_store
+from tessera.llm import bpe, common, decontaminate, graph, html_text, language, licenses, line_dedup, near_dup, quality_model, quality_rules, registry, token_store
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, node long, key string"
@@ -172,6 +172,31 @@ def test_search_between_components_within_tasks(spark, monkeypatch):
     assert got == {i: c for (i, _), c in want.items()}
 
 
+def test_components_either_way(spark, monkeypatch):
+    """On the driver, in rounds of joins and joined to earlier ones, components are those of a plain search."""
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2)) if a != b] + [(1000 + k, 1001 + k) for k in range(40)]
+    least = {x: x for e in edges for x in e}
+    for _ in range(len(least)):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    table = spark.createDataFrame(edges, "a long, b long")
+    parts = [spark.createDataFrame(edges[k::2], "a long, b long") for k in range(2)]
+    for small in (graph.SMALL, 0):
+        monkeypatch.setattr(graph, "SMALL", small)
+        assert dict(map(tuple, graph.components(table).collect())) == least
+        assert dict(map(tuple, graph.joined(graph.components(parts[0]), parts[1]).collect())) == least
+
+
+def test_small_components_take_no_joins(spark, monkeypatch):
+    """Rounds of joins over a few edges leave a file for each task and partition of every exchange."""
+    sizes = []
+    real = graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: (sizes.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange")), real(df))[1])
+    graph.components(spark.createDataFrame([(k, k + 1) for k in range(500)], "a long, b long"))
+    assert sizes == [0]
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 4000).astype(np.uint64)
