@@ -305,6 +305,53 @@ def test_line_dedup_of_spread_changes(spark):
     assert [r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string"), min_docs=5).collect()] == [0] * 4
 
 
+def _letters(k):
+    return "".join(chr(97 + k // 26**j % 26) for j in range(3))
+
+
+def test_line_dedup_links_lines_that_are_nobodys_hub(spark):
+    """Lines 3 and 4 are alike, and every token they share stands first in line 1 or 2, which are not like them."""
+    shared = [_letters(k) for k in range(40)]
+    other = lambda tag, at: [f"{tag}{_letters(k)}" if k in at else w for k, w in enumerate(shared)]
+    rows = [other("p", range(4, 40, 2)), other("q", range(5, 40, 2)), other("r", (8, 21)), other("s", (13, 30))]
+    table = spark.createDataFrame([(k + 1, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(table).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+
+
+@pytest.mark.parametrize(("block", "rounds", "alike"), [(4, 2, 0.75), (256, 8, 0.75), (4, 0, 0.6)])
+def test_line_dedup_against_all_pairs(spark, monkeypatch, block, rounds, alike):
+    """Lines around the threshold, of many lengths: classes are those of comparing all pairs of a leaf."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+    rng = np.random.default_rng(17)
+    rows = []
+    for n in (9, 10, 14, 23, 40):
+        for v in range(40):
+            words = [_letters(k) for k in range(n)]
+            for k in range(4, n):
+                if rng.random() < 0.3:
+                    words[k] = _letters(1000 + int(rng.integers(0, 3 if v % 2 else 9000)))
+            rows.append((n, words))
+    order = rng.permutation(len(rows)).tolist()
+    lines = {" ".join(rows[k][1]): (rows[k], d) for d, k in reversed(list(enumerate(order)))}
+    least = {line: d for line, (_, d) in lines.items()}
+    alone = dict(least)
+    for _ in range(len(lines)):
+        was = dict(least)
+        for a, ((n, x), _) in lines.items():
+            for b, ((m, y), _) in lines.items():
+                if n == m and least[b] < least[a] and sum(p == q for p, q in zip(x, y)) >= alike * n:
+                    least[a] = least[b]
+        if was == least:
+            break
+    texts = spark.createDataFrame([(k, n, line, d) for k, (line, ((n, _), d)) in enumerate(lines.items())], "rest long, n int, line string, first_doc long").selectExpr("cast(n as long) as leaf", "rest", "n", "line", "first_doc", "first_doc as last_doc")
+    frequent = lambda of, *t: of.groupBy("leaf", *t).agg(line_dedup.F.min("first_doc").alias("d0"), line_dedup.F.max("last_doc").alias("d1")).where("d0 != d1").drop("d1")
+    got = {r.rest: r.d0 for r in line_dedup._near(texts, frequent, alike).collect()}
+    size = Counter(least.values())
+    want = {k: least[line] for k, line in enumerate(lines) if size[least[line]] > 1}
+    assert got == want and len(set(got.values())) > 1 and len(want) < len(alone)
+
+
 def test_line_dedup_counts_documents(spark):
     """A template's documents are counted once each, however many of its lines they hold."""
     words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30)]
