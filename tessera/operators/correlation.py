@@ -11,6 +11,8 @@ from tessera.operators.kernel import KEYS, centered_norm, col_sums, row_sums
 
 #: A denominator under this gives a correlation of 0.
 TINY = 1e-9
+#: Sinkhorn's scaling leaves rows and columns out whose sum is not over this.
+LEAST_SUM = 2.0**-52
 
 
 def _sides(kernel: DataFrame, scores: DataFrame) -> DataFrame:
@@ -94,22 +96,35 @@ def kernel_norms(kernel: DataFrame, of: DataFrame, self_kernels: DataFrame | Non
     return white.union(plain.join(white, KEYS, "left_anti"))
 
 
-def sinkhorn(kernel: DataFrame, tol: float = 1e-8, most: int = 1000, every: int = 5) -> DataFrame:
-    """The kernel scaled to rows and columns of sum 1, zero rows and columns left at 0; tested every few rounds."""
+def sinkhorn(kernel: DataFrame, tol: float = 1e-8, most: int = 1000) -> DataFrame:
+    """The kernel scaled by row and column factors in turn, each block until neither moves by tol or more; sums of up to LEAST_SUM give a factor of 0."""
+    def inverse(side: str, by: DataFrame, other: str, name: str, factor: str) -> DataFrame:
+        sums = left.join(by, [*KEYS, other]).groupBy(*KEYS, side).agg(F.sum(F.col("k") * F.col(factor)).alias("s"))
+        return materialized(sums.select(*KEYS, side, F.when(F.col("s") > LEAST_SUM, 1 / F.col("s")).otherwise(0.0).alias(name)))
+
+    def moved(new: DataFrame, old: DataFrame, side: str, name: str) -> DataFrame:
+        was = old.withColumnRenamed(name, "was")
+        return new.join(was, [*KEYS, side]).groupBy(*KEYS).agg(F.max(F.abs(F.col(name) - F.col("was"))).alias("m"))
+
+    left, scaled = kernel, None
     u = kernel.select(*KEYS, "i").distinct().withColumn("u", F.lit(1.0))
+    v = kernel.select(*KEYS, "j").distinct().withColumn("v", F.lit(1.0))
     for n in range(1, most + 1):
-        v = kernel.join(u, [*KEYS, "i"]).groupBy(*KEYS, "j").agg(F.sum(F.col("k") * F.col("u")).alias("s")).select(*KEYS, "j", F.when(F.col("s") > 0, 1 / F.col("s")).otherwise(0.0).alias("v"))
-        new = kernel.join(v, [*KEYS, "j"]).groupBy(*KEYS, "i").agg(F.sum(F.col("k") * F.col("v")).alias("s")).select(*KEYS, "i", F.when(F.col("s") > 0, 1 / F.col("s")).otherwise(0.0).alias("u"))
-        if n % every == 0 or n == most:
-            new = materialized(new)
-            moved = new.join(u.withColumnRenamed("u", "was"), [*KEYS, "i"]).agg(F.max(F.abs(F.col("u") - F.col("was")) / F.greatest(F.abs("was"), F.lit(1e-300))).alias("m")).first().m
-            u = new
-            if moved is None or moved < tol:
-                break
-        else:
-            u = new
-    v = kernel.join(u, [*KEYS, "i"]).groupBy(*KEYS, "j").agg(F.sum(F.col("k") * F.col("u")).alias("s")).select(*KEYS, "j", F.when(F.col("s") > 0, 1 / F.col("s")).otherwise(0.0).alias("v"))
-    return kernel.join(u, [*KEYS, "i"]).join(v, [*KEYS, "j"]).select(*KEYS, "i", "j", (F.col("k") * F.col("u") * F.col("v")).alias("k"))
+        last_u, last_v = u, v
+        u = inverse("i", v, "j", "u", "v")
+        v = inverse("j", u, "i", "v", "u")
+        moves = moved(u, last_u, "i", "u").union(moved(v, last_v, "j", "v")).groupBy(*KEYS).agg(F.max("m").alias("m")).collect()  # a row for each block
+        still = [tuple(r)[:-1] for r in moves if r.m >= tol] if n < most else []
+        if len(still) < len(moves):
+            done = left.join(u, [*KEYS, "i"]).join(v, [*KEYS, "j"]).select(*KEYS, "i", "j", (F.col("k") * F.col("u") * F.col("v")).alias("k"))
+            if still:
+                open_blocks = F.broadcast(kernel.sparkSession.createDataFrame(still, kernel.select(*KEYS).schema))
+                done = done.join(open_blocks, KEYS, "left_anti")
+                left, u, v = (df.join(open_blocks, KEYS, "left_semi") for df in (left, u, v))
+            scaled = done if scaled is None else scaled.unionByName(done)
+        if not still:
+            break
+    return kernel if scaled is None else scaled
 
 
 def filtered(kernel: DataFrame, row_cutoff: float, col_cutoff: float, together: bool = False) -> DataFrame:
